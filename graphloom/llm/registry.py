@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from graphloom.llm.audio import op1_media_audio
+from graphloom.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from graphloom.llm.mixing import OP6_SQL, op6_mixing
 from graphloom.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_media_audio": op1_media_audio,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op6_mixing": op6_mixing,
     "op9_url_filter": op9_url_filter,
 }
-SQL = {"op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op3_embedding_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL}
