@@ -35,12 +35,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Files go to the folder that spark.checkpoint.dir names, which all executors share, so a lost
     executor loses nothing. Only where the setting is absent (tests) a temporary folder is taken.
+    The frame is rebuilt from the stored rows: checkpoint() alone keeps the plan's size estimate,
+    which every join of a loop multiplies, until planning itself takes minutes.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)._jdf
+    return type(df)(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
