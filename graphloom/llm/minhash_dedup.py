@@ -9,12 +9,12 @@ document meets the WINDOW next ones, those with the longest common prefixes. Ord
 partitioned by the prefix itself, so a crowded region is spread over partitions.
 
 Candidates whose sketches cannot be similar are dropped (one byte for each hash; the bound lies five
-standard deviations below the threshold). Links are confirmed on full sets, in rounds: first each
-document with its best candidate; documents that are then connected need no more checks, and all
-remaining candidates between different components are confirmed next, until none is left. So a group
-of thousands of near copies costs a few checks for each document, not one for each pair; what a window
-leaves out inside a crowded region is reached through the confirmed neighbours, and the other orders
-give each document other neighbours.
+standard deviations below the threshold). Links are confirmed on full sets, in rounds: in each of the
+first BEST_ROUNDS every document checks its best candidate outside its own component; what still runs
+between different components is confirmed next, until nothing is left. So a group of thousands of near
+copies costs a few checks for each document, not one for each pair. What a window leaves out inside a
+crowded region is then caught up exactly: documents outside the region's largest component are compared
+with all documents of other components in the region, sketch by sketch in blocks.
 
 A link at similarity 0.8 agrees on two given hashes with probability 0.64; 16 orders miss it with
 probability 8e-8.
@@ -37,8 +37,11 @@ from pyspark.sql import functions as F
 
 from graphloom.components import components
 from graphloom.frames import checkpointed, pick, read, shuffle_partitions
+from graphloom.llm.runs import blocks
 
-HASHES, TREES, STEP, MIN_DEPTH, WINDOW = 64, 16, 4, 2, 16
+HASHES, TREES, STEP, MIN_DEPTH, WINDOW, BEST_ROUNDS = 64, 16, 4, 2, 16, 3
+#: Documents of a crowded region that one block of the catching-up holds.
+BLOCK = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,9 +102,14 @@ def set_features(docs: DataFrame, width: int) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, _FEATURES)
 
 
+def least_alike(threshold: float) -> float:
+    """Share of equal signature hashes, five standard deviations below the threshold."""
+    return threshold - 5 * (threshold * (1 - threshold) / HASHES) ** 0.5
+
+
 def forest_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """nodes(node, n_shingles, sig) -> candidate pairs (a, b, alike), a < b, each once."""
-    least = threshold - 5 * (threshold * (1 - threshold) / HASHES) ** 0.5
+    least = least_alike(threshold)
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,6 +155,50 @@ def forest_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     return laid.mapInArrow(neighbours, "a long, b long, alike double").groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
+def crowded_pairs(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs between different components that share a region too large for the window.
+
+    Each document outside the largest component of its region meets all documents of the region, which
+    are dealt out in blocks; only similar pairs leave a block.
+    """
+    n = shuffle_partitions(nodes.sparkSession)
+    least = least_alike(threshold)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+                keys = [_mixed(_mixed((sig[:, t * STEP] << np.uint64(32) | sig[:, t * STEP + 1]) + np.uint64(t)) + _M).view(np.int64) for t in range(TREES)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(b.column(0).to_numpy(), TREES)), pa.array(np.concatenate(keys))], ["node", "region"])
+
+    regions = nodes.select("node", "sig").mapInArrow(keyed, "node long, region long")
+    crowded = regions.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > WINDOW + 1)
+    rows = regions.join(crowded, "region").join(comps, "node", "left").select("region", "m", "node", F.coalesce("component", "node").alias("comp"))
+    rows = checkpointed(rows)
+    tops = rows.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    mixed = rows.join(tops.filter("comps > 1"), "region").join(nodes.select("node", "n_shingles", "sig"), "node")
+    mixed = checkpointed(mixed.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("asks", F.col("comp") != F.col("top")))
+    columns = ["region", "part", "asks", "node", "comp", "n_shingles", "sig"]
+    held = mixed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("asks", F.lit(False)).select(columns)
+    asking = mixed.filter("asks").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(columns)
+    work = held.unionByName(asking).repartition(n, "region", "part").sortWithinPartitions("region", "part", "node")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in blocks(batches, ["region", "part"]):
+            asks, ids, comp, sizes = t.column("asks").to_numpy(), t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                there = s + np.flatnonzero(~asks[s:e])
+                for x in s + np.flatnonzero(asks[s:e]):
+                    y = there[(comp[there] != comp[x]) & (np.minimum(sizes[there], sizes[x]) >= threshold * np.maximum(sizes[there], sizes[x]) - 1e-9)]
+                    alike = (sig[y] == sig[x]).mean(1)
+                    y, alike = y[alike >= least], alike[alike >= least]
+                    if len(y):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[y], ids[x])), pa.array(np.maximum(ids[y], ids[x])), pa.array(alike)], ["a", "b", "alike"])
+
+    return work.mapInArrow(compared, "a long, b long, alike double").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs(a, b), texts(node, text) -> the pairs whose full sets reach the similarity."""
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -183,25 +235,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = features.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(stands).alias("stands"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = checkpointed(nodes)
     pairs = checkpointed(forest_pairs(nodes, percent / 100))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("stands.id").alias("id"), F.col("stands.th").alias("th"))
     source = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th"), "text")
-    texts = checkpointed(source.join(wanted, ["id", "th"]).select("node", "text").dropDuplicates(["node"]))
-    ends = pairs.select(F.col("a").alias("node"), "a", "b", "alike").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "alike"))
-    ask = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = None
-    while True:
-        asked = checkpointed(ask)
-        if links is not None and asked.isEmpty():
-            break
-        new = confirm(asked, texts, width, percent)
-        links = checkpointed(new if links is None else links.unionByName(new))
-        comps = components(links)
-        left = pairs.join(asked, ["a", "b"], "left_anti").select("a", "b")
-        pairs = checkpointed(left)
-        at = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))  # noqa: E731, B023
-        apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        ask = apart.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+
+    def linked(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """All links confirmed so far, and their components, once no pair is left between components."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("stands.id").alias("id"), F.col("stands.th").alias("th"))
+        texts = checkpointed(source.join(wanted, ["id", "th"]).select("node", "text").dropDuplicates(["node"]))
+        links = pairs.select("a", "b").limit(0) if links is None else links
+        turn = 0
+        while True:
+            comps = components(links)
+            at = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))  # noqa: E731, B023
+            apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
+            pairs = checkpointed(apart.select("a", "b", "alike"))
+            if pairs.isEmpty():
+                return links, comps
+            ask = pairs.select("a", "b")
+            if turn < BEST_ROUNDS:
+                ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "alike")
+                ask = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            ask = checkpointed(ask)
+            links = checkpointed(links.unionByName(confirm(ask, texts, width, percent)))
+            pairs = pairs.join(ask, ["a", "b"], "left_anti")
+            turn += 1
+
+    links, comps = linked(pairs, None)
+    rest = checkpointed(crowded_pairs(nodes, comps, percent / 100).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links, comps = linked(rest, links)
     placed = checkpointed(nodes.select("node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = placed.join(ids, "component").select(F.col("node").alias("of"), "component_id")
