@@ -46,7 +46,12 @@ def targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, taken.
+    """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, taken."""
+    return mix_keyed(docs, max_epochs).drop("tie")
+
+
+def mix_keyed(docs: DataFrame, max_epochs: int = 3) -> DataFrame:
+    """As mix(), and tie, the hash of the text, which with doc_id names the row.
 
     taken counts words, repeats included: floor(target / source_size) whole epochs, then documents
     in key order up to the budget; the document that crosses the budget gives only what is left,
@@ -73,7 +78,7 @@ def mix(docs: DataFrame, max_epochs: int = 3) -> DataFrame:
     x = x.withColumn("epochs", epochs.cast("long")).withColumn("rest", (budget - F.col("epochs") * F.col("source_size")).cast("long"))
     start = F.col("range_start") + F.col("upto") - F.col("size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - start))
-    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return x.select("doc_id", "tie", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
