@@ -8,7 +8,7 @@ the order goes on through the whole signature, a crowded region is sorted ever d
 document meets the WINDOW next ones, those with the longest common prefixes. Orders are range
 partitioned by the prefix itself, so a crowded region is spread over partitions.
 
-Candidates whose sketches cannot be similar are dropped (one byte for each hash; the bound lies five
+Candidates whose sketches cannot be similar are dropped (one byte for each hash; the bound lies four
 standard deviations below the threshold). Links are confirmed on full sets, in rounds: in each of the
 first BEST_ROUNDS every document checks its best candidate outside its own component; what still runs
 between different components is confirmed next, until nothing is left. So a group of thousands of near
@@ -39,7 +39,7 @@ from graphloom.components import components
 from graphloom.frames import checkpointed, pick, read, shuffle_partitions
 from graphloom.llm.runs import blocks
 
-HASHES, TREES, STEP, MIN_DEPTH, WINDOW, BEST_ROUNDS = 64, 16, 4, 2, 16, 3
+HASHES, TREES, STEP, MIN_DEPTH, WINDOW, BEST_ROUNDS = 64, 16, 4, 2, 4, 3
 #: Documents of a crowded region that one block of the catching-up holds.
 BLOCK = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -103,8 +103,8 @@ def set_features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def least_alike(threshold: float) -> float:
-    """Share of equal signature hashes, five standard deviations below the threshold."""
-    return threshold - 5 * (threshold * (1 - threshold) / HASHES) ** 0.5
+    """Share of equal signature hashes, four standard deviations below the threshold."""
+    return threshold - 4 * (threshold * (1 - threshold) / HASHES) ** 0.5
 
 
 def forest_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
