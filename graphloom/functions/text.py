@@ -1,0 +1,53 @@
+"""Text functions as columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The 33 stop words of Lucene's English analyser.
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
+    "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+]
+
+
+def search_tokens(text: Column) -> Column:
+    """Lower-case runs of [a-z0-9] longer than one letter, stop words out (repeats stay)."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(runs, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
+
+
+def fts_query(text: Column) -> Column:
+    """Tokens joined by OR, null if there is none."""
+    return F.nullif(F.array_join(search_tokens(text), " OR "), F.lit(""))
+
+
+def jaccard_tokens(text: Column) -> Column:
+    """Distinct lower-case runs of [a-z0-9_] longer than two letters."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: F.length(t) > 2))
+
+
+def token_jaccard(a: Column, b: Column) -> Column:
+    """Shared share of two token sets, 0 if either is empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def strip_html(s: Column) -> Column:
+    """Tags to spaces, six entities decoded in order, white space collapsed."""
+    s = F.regexp_replace(s, "<[^>]*>", " ")
+    for name, value in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+        s = F.replace(s, F.lit(name), F.lit(value))
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def query_terms(q: Column, most: int = 8) -> Column:
+    """Distinct lower-case terms of three letters or more without stop words, the first few."""
+    terms = F.split(F.lower(q), "[^a-z0-9.+#-]+")
+    return F.slice(F.array_distinct(F.filter(terms, lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))), 1, most)
+
+
+def content_sha256(text: Column) -> Column:
+    """Digest of the text with white space collapsed and trimmed."""
+    return F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256)

@@ -1 +1,3 @@
+"""Registered queries; importing this package registers them all."""
 
+from graphloom.plans import events, retrieval, tables  # noqa: F401

@@ -1,0 +1,112 @@
+"""Queries on graphs made of the relational tables, items and sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.catalog import query
+from graphloom.frames import read
+from graphloom.functions.text import content_sha256
+from graphloom.operators import graph
+
+#: Parts have ids from 1 on, suppliers from 10,000,001 on.
+EDGES = "e AS (SELECT l_partkey AS source, l_suppkey + 10000000 AS target FROM lineitem)"
+NODES = "n AS (SELECT p_partkey AS id, p_name AS label FROM part UNION ALL SELECT s_suppkey + 10000000, s_name FROM supplier)"
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), (F.col("l_suppkey") + 10000000).alias("target"))
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")).union(read(spark, d, "supplier").select(F.col("s_suppkey") + 10000000, "s_name"))
+
+
+@query("graph_stats", """
+SELECT s_nationkey AS workspace, count(*) AS n_nodes FROM supplier GROUP BY ROLLUP (s_nationkey)""")
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "supplier").rollup(F.col("s_nationkey").alias("workspace")).agg(F.count("*").alias("n_nodes"))
+
+
+@query("god_nodes", f"""
+WITH {EDGES}, {NODES}, b AS (SELECT source, target FROM e UNION SELECT target, source FROM e)
+SELECT source AS id, count(*) AS degree FROM b WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) AND source <> target GROUP BY 1 ORDER BY degree DESC, id LIMIT 10""")
+def gods(spark: SparkSession, d: str) -> DataFrame:
+    return graph.god_nodes(nodes(spark, d), edges(spark, d))
+
+
+@query("k_hop", f"""
+WITH {EDGES}, {NODES}, b AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
+h0 AS (SELECT id FROM n WHERE id % 500 = 1),
+h1 AS (SELECT DISTINCT target AS id FROM b WHERE source IN (SELECT id FROM h0) AND target NOT IN (SELECT id FROM h0)),
+h2 AS (SELECT DISTINCT target AS id FROM b WHERE source IN (SELECT id FROM h1) AND target NOT IN (SELECT id FROM h0) AND target NOT IN (SELECT id FROM h1)),
+a AS (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)
+SELECT id, hop FROM a WHERE id IN (SELECT id FROM n)""")
+def hops(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d)
+    return graph.k_hop(n.filter("id % 500 = 1"), n, edges(spark, d), 2)
+
+
+@query("personalized_pagerank")
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), (F.col("l_suppkey") + 10000000).alias("target"), F.col("l_quantity").alias("weight"))
+    both = e.union(e.select("target", "source", "weight"))
+    return graph.personalized_pagerank(both, read(spark, d, "supplier").select((F.col("s_suppkey") + 10000000).alias("id"), F.lit(1.0).alias("p")), rounds=20)
+
+
+@query("lint_graph", """
+WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 97 = 0 THEN ' ' ELSE c_name END AS label, concat('u', c_custkey % 1000) AS source_uri, CASE WHEN c_custkey % 89 = 0 THEN NULL ELSE c_name END AS fetched_at FROM customer WHERE c_custkey % 11 <> 0),
+e AS (SELECT DISTINCT o_custkey AS source, 1 + (o_custkey * 7) % 100 AS target FROM orders),
+b AS (SELECT source FROM e UNION SELECT target FROM e)
+SELECT 'orphan' AS category, CAST(id AS VARCHAR) AS id FROM n WHERE id NOT IN (SELECT source FROM b)
+UNION ALL SELECT 'dead-edge', source || '|' || target FROM e WHERE source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n)
+UNION ALL SELECT 'empty-label', CAST(id AS VARCHAR) FROM n WHERE trim(coalesce(label, '')) = ''
+UNION ALL SELECT 'missing-fetched-at', CAST(id AS VARCHAR) FROM n WHERE fetched_at IS NULL
+UNION ALL SELECT 'duplicate-uri', CAST(min(id) AS VARCHAR) FROM n GROUP BY source_uri HAVING count(*) >= 2""")
+def lint(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    n = read(spark, d, "customer").filter(k % 11 != 0).select(k.alias("id"), F.when(k % 97 == 0, " ").otherwise(F.col("c_name")).alias("label"), F.concat(F.lit("u"), k % 1000).alias("source_uri"), F.when(k % 89 != 0, F.col("c_name")).alias("fetched_at"))
+    e = read(spark, d, "orders").select(F.col("o_custkey").alias("source"), (1 + (F.col("o_custkey") * 7) % 100).alias("target")).distinct()
+    return graph.lint_graph(n, e)
+
+
+@query("upsert_nodes", """
+WITH o AS (SELECT doc_id AS id, lang AS label, source AS uri FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE upper(lang) END AS label, concat('new-', source) AS uri FROM documents WHERE doc_id % 5 = 0)
+SELECT coalesce(n.id, o.id) AS id, coalesce(n.label, o.label) AS label, coalesce(n.uri, o.uri) AS uri FROM o FULL JOIN n ON o.id = n.id""")
+def upsert(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    old = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.col("source").alias("uri"))
+    new = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 != 0, F.upper("lang")).alias("label"), F.concat(F.lit("new-"), "source").alias("uri"))
+    return graph.upsert_nodes(old, new)
+
+
+@query("classify_items", r"""
+WITH o AS (SELECT doc_id AS uri, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents WHERE doc_id % 4 <> 0),
+i AS (SELECT doc_id AS uri, source, sha256(trim(regexp_replace(CASE WHEN doc_id % 6 = 0 THEN text || ' more' ELSE text END, '\s+', ' ', 'g'))) AS h FROM documents),
+c AS (SELECT i.source, CASE WHEN o.uri IS NULL THEN 'new' WHEN o.h = i.h THEN 'skipped' ELSE 'updated' END AS kind FROM i LEFT JOIN o USING (uri))
+SELECT source AS source_id, count(*) AS items_seen, count(*) FILTER (kind = 'new') AS items_new, count(*) FILTER (kind = 'updated') AS items_updated, count(*) FILTER (kind = 'skipped') AS items_skipped FROM c GROUP BY 1""")
+def classify(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    old = docs.filter("doc_id % 4 <> 0").select("doc_id", content_sha256(F.col("text")).alias("stored"))
+    text = F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    c = docs.select("doc_id", "source", content_sha256(text).alias("h")).join(old, "doc_id", "left")
+    kind = F.when(F.col("stored").isNull(), "new").when(F.col("stored") == F.col("h"), "skipped").otherwise("updated")
+    c = c.withColumn("kind", kind)
+    count = lambda k: F.count_if(F.col("kind") == k)
+    return c.groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("items_seen"), count("new").alias("items_new"), count("updated").alias("items_updated"), count("skipped").alias("items_skipped"))
+
+
+@query("next_chunk_edges", """
+SELECT source, target FROM (SELECT conv_id || '#' || turn AS source, lead(conv_id || '#' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations) WHERE target IS NOT NULL""")
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations").withColumn("source", F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return c.select("source", F.lead("source").over(Window.partitionBy("conv_id").orderBy("turn")).alias("target")).filter("target is not null")
+
+
+@query("session_rollup", """
+SELECT conv_id, count(*) AS n_nodes, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER (role = 'user') AS user_turns, sum(length(text)) AS chars,
+  substr(arg_max(text, turn) FILTER (role = 'assistant'), 1, 200) AS last_summary FROM conversations GROUP BY 1""")
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("role") == "assistant", F.col("turn"))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_nodes"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.length("text")).alias("chars"), F.substring(F.max_by("text", said), 1, 200).alias("last_summary"))
