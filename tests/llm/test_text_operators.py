@@ -1,0 +1,211 @@
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_audio_round_trip_and_damage(spark, odd_docs):
+    from graphloom.llm.audio import audio_features, encode, padded, scan, store_audio
+
+    got = rows(audio_features(store_audio(odd_docs)))
+    by_sha = {hashlib.sha256(padded((r[1] or "").encode())).hexdigest() for r in odd_docs.collect()}
+    assert len(got) == 9 and {r["payload_sha256"] for r in got} == by_sha
+    assert all(r["payload_bytes"] % 64 == 0 and r["payload_bytes"] >= 64 for r in got)
+    p = padded(bytes(range(256)) * 40)
+    media = encode(p)
+    s = scan(media)
+    assert s["payload"] == p and not s["bad"] and not s["resyncs"] and s["table"]["frames"] == len(s["offsets"]) and s["table"]["bytes"] == len(media) - s["offsets"][0] + 192
+    assert zlib.crc32(p[-64:]) == zlib.crc32(s["payload"][-64:])
+    hurt = scan(media[: s["offsets"][2]] + b"\xff\xfbjunk" + media[s["offsets"][3] :])
+    assert hurt["resyncs"] == 1 and len(hurt["offsets"]) == len(s["offsets"]) - 1
+    flipped = bytearray(media)
+    flipped[s["offsets"][1] + 8] ^= 1
+    assert scan(bytes(flipped))["bad"] == 1
+    assert scan(b"")["offsets"] == [] and scan(b"no audio at all")["offsets"] == []
+    assert audio_features(store_audio(odd_docs.limit(0))).count() == 0
+
+
+def test_bpe_matches_library(spark, odd_docs):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from graphloom.llm.bpe import encode_documents, tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.no_padding(), t.no_truncation()
+    b = tokenizer("word_bpe_49k.json")
+    texts = ["", " ", "<|endoftext|>a<|startoftext|>", "ΣΑΣ café é ½ ٣ 中文字 x\x85y", "it's we'll I'D 'S", "a" * 5000, "ab" * 3000, "​ \x00\x01", "naïve" * 30, "😀" * 40]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for x in texts:
+        e = t.encode(x, add_special_tokens=False)
+        assert b.encode(x) == e.ids
+        assert b.decode(e.ids) == t.decode(e.ids, skip_special_tokens=False)
+    got = rows(encode_documents(odd_docs))
+    assert len(got) == 9
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {r["ids_sha256"] for r in got if r["doc_id"] in (3, 4, 6)} == {empty}
+    assert encode_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_token_counts(spark, odd_docs):
+    from graphloom.llm.token_counts import END, _encoder, scan_separators, token_stream
+
+    enc = _encoder("byte_bpe_50k.tiktoken")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r["n_tokens"] for r in rows(scan_separators(token_stream(docs, block=500)))}
+    assert got == {r.doc_id: len(enc.encode_ordinary(r.text)) for r in docs.collect()}
+    assert sorted(r["n_tokens"] for r in rows(scan_separators(token_stream(odd_docs, block=64))))[:2] == [0, 0]
+    tail = np.array([5, END, 7, 8], np.uint16).tobytes()
+    flat = spark.createDataFrame([(0, 0, bytearray(tail), [1])], "file int, block long, tokens binary, closes array<long>")
+    assert sorted((r["n_tokens"], r["closed"]) for r in rows(scan_separators(flat))) == [(1, True), (2, False)]
+    assert scan_separators(token_stream(odd_docs.limit(0))).count() == 0
+
+
+def test_mixing(spark, odd_docs):
+    from graphloom.llm.mixing import mix
+
+    got = rows(mix(odd_docs))
+    assert len(got) == 9
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        assert sum(r["taken"] for r in own) == int(own[0]["target"]) and own[0]["target"] <= 3 * own[0]["source_size"]
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    assert abs(sum({r["source"]: r["target"] for r in got}.values()) - sum(r["size"] for r in got)) < 1e-6
+    assert sorted(map(str, got)) == sorted(map(str, rows(mix(odd_docs))))
+    assert mix(odd_docs.limit(0)).count() == 0
+
+
+def test_language(spark, odd_docs):
+    from graphloom.llm.language_id import LanguageModel, codewords, op7_language_id
+    from graphloom.llm.registry import QUERIES
+
+    got = op7_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+    assert codewords(12).shape[0] == 12 and len({tuple(c) for c in codewords(12)}) == 12
+    named = odd_docs.toDF("doc_id", "text", "lang", "source", "n_chars", "extra")
+    out = rows(LanguageModel(named.filter("lang is not null")).predict(named))
+    assert len(out) == 9 and {r["lang_pred"] for r in out if r["doc_id"] in (3, 4, 6)} == {"und"}
+    assert {r["lang_pred"] for r in rows(LanguageModel(named.limit(0)).predict(named))} == {"und"}
+    assert "op7_language_id" in QUERIES
+
+
+def test_toxicity_held_out(spark, odd_docs):
+    from graphloom.llm.toxicity import ToxicityModel, op5_toxicity
+
+    d = "/root/testdata/sf0.01"
+    got = op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out")
+    r = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right"), F.sum(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("false"), F.count("*").alias("n")).first()
+    assert r["right"] > 0.9 and r["false"] <= 0.03 * r["n"]
+    named = odd_docs.toDF("doc_id", "text", "lang", "source", "n_chars", "extra")
+    labels = spark.createDataFrame([(2, 1), (2, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    out = rows(ToxicityModel(named, labels).score(named, ["doc_id"]))
+    assert len(out) == 9 and all(x["score"] < 0.5 for x in out)
+    assert ToxicityModel(named.limit(0), labels).score(named.limit(0), ["doc_id"]).count() == 0
+
+
+def test_secrets(spark):
+    from graphloom.llm.secrets import redact, scan
+
+    words = "alpha beta gamma delta internationalization counterrevolutionaries"
+    texts = [f'{words} n{i} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" {words} 9807915762804490{i}' for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(98, None, None, None, None), (99, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = rows(scan(docs).filter("is_secret").select("doc_id", "secret"))
+    assert {(r["doc_id"], r["secret"]) for r in found} == {(i, hashlib.sha1(str(i).encode()).hexdigest()) for i in range(60)}
+    clean = rows(redact(docs))
+    assert len(clean) == 62 and sum("[REDACTED]" in (r["text"] or "") for r in clean) == 60
+    assert all(r["n_chars"] == len(r["text"]) for r in clean if r["text"])
+    assert scan(docs.limit(0)).count() == 0
+
+
+def test_urls(spark):
+    from graphloom.llm.url_filter import RULES, filter_urls
+
+    urls = ["http://a.example.com/en/71?q", "https://EXAMPLE.com/en/8#x", "http://xexample.com/en/7", "http://net/de/", "http://b.example.net/de/89", "http://example.net", None, "nothing", "http://m.com?x", "http://a.example-x.com/en/7"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in rows(filter_urls(pages, rules)))
+    want = {0: ("example.com/en/7", "allow"), 1: ("com/en/", "block"), 2: ("com/en/", "block"), 3: ("net/de/", "block"), 4: ("example.net/de/8", "block"), 9: ("com/en/", "block")}
+    assert got == sorted([(i, *want.get(i, (None, "allow"))) for i in range(10)] + [(0, *want[0])], key=lambda x: x[0])
+    assert filter_urls(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in rows(filter_urls(pages, rules.limit(0)))} == {"allow"}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_minhash_against_brute_force(spark, odd_docs, width):
+    from graphloom.llm.minhash_dedup import near_duplicates
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    texts = {}
+    for i in range(80):  # a crowd of near copies at about the threshold
+        w = list(base)
+        for j in rng.choice(300, int(rng.integers(2, 22)), replace=False):
+            w[j] = f"n{i}x{j}"
+        texts[i] = " ".join(w)
+    for i in range(80, 160):
+        texts[i] = " ".join(f"u{k}" for k in rng.integers(0, 10**6, 50))
+    texts |= {160: texts[3].upper(), 161: "", 162: "solo"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    comp = {i: i for i in texts}
+    for _ in texts:
+        change = False
+        for a in texts:
+            for b in texts:
+                if comp[b] < comp[a] and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a], change = comp[b], True
+        if not change:
+            break
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows(near_duplicates(docs, width))}
+    assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in texts}
+    odd = rows(near_duplicates(odd_docs, width))
+    assert len(odd) == 9 and {r["component_id"] for r in odd if r["doc_id"] in (1, 2)} == {1}
+    assert near_duplicates(odd_docs.limit(0), width).count() == 0
+
+
+def test_embeddings_against_brute_force(spark):
+    from graphloom.llm.embedding_dedup import near_duplicates
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 64))
+    x = np.concatenate((x, x[:20] + rng.normal(size=(20, 64)) * 0.3, np.repeat(x[:1], 30, 0) + rng.normal(size=(30, 64)) * 0.2, x[5:8]))
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    data += [(900, None), (901, [0.0] * 64), (902, [float("nan")] * 64), (903, [1.0, 2.0]), (904, [2.0, 4.0]), (None, x[50].tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")))}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.95
+    comp = np.arange(len(x))
+    for _ in range(50):
+        comp = np.array([comp[h].min() for h in hit])
+    links = hit.sum(1) - 1
+    links[50] += 1
+    want = {i: (int(links[i]), int(comp[i])) for i in range(len(x))}
+    want |= {900: (0, 900), 901: (0, 901), 902: (0, 902), 903: (1, 903), 904: (1, 903), None: (1, 50)}
+    assert got == want
+    assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.toxicity(spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS and 0 < kept.count() < docs.count() + 1
+    one = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert one.count() < docs.count() and one.columns == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.secret_scan(spark, docs, SF).count() == docs.count()
+    mixed = corpus_pipeline.mixing(spark, docs, SF)
+    assert mixed.columns == corpus_pipeline.COLUMNS
+    assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    assert corpus_pipeline.bpe(spark, mixed, SF).count() == mixed.count()
