@@ -42,7 +42,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    kept = df.checkpoint(eager=True)._jdf
+    kept = df.checkpoint(eager=True)._jdf.toDF()
     return type(df)(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
