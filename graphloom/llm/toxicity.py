@@ -179,7 +179,8 @@ class ToxicityModel:
         d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
         known = pick(labels, "doc_id", "toxic").filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         known = known.filter(F.col("toxic").isin(0, 1) & (fold() != 0))
-        seen = d.join(known.filter(fold() != 4), "doc_id", "left").select("text", F.col("toxic").alias("class"))
+        # a merge join at every size, so that disk grows in proportion and no label table is broadcast
+        seen = d.hint("merge").join(known.filter(fold() != 4), "doc_id", "left").select("text", F.col("toxic").alias("class"))
         self.sc = docs.sparkSession.sparkContext
         self.tab = tables(checkpointed(vocabulary(seen)))
         later = known.filter(fold() == 4)
@@ -187,7 +188,7 @@ class ToxicityModel:
         if n > CURVE_ROWS:
             later = later.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * CURVE_ROWS / n))
         self.shared = self.sc.broadcast(self.tab)
-        fit = self.scored(d.join(later, "doc_id"), ["toxic"], None).select("evidence", "toxic").toArrow()  # at most about CURVE_ROWS rows
+        fit = self.scored(d.hint("merge").join(later, "doc_id"), ["toxic"], None).select("evidence", "toxic").toArrow()  # at most about CURVE_ROWS rows
         x, y = fit["evidence"].to_numpy(), fit["toxic"].to_numpy().astype(float)
         self.curve = curve(x, y) if len(set(y)) == 2 else (0.0, -50.0)
 
