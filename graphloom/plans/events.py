@@ -59,7 +59,7 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.rate_series(e, 50)
 
 
-@query("compounding_slope", f"WITH {SERIES} SELECT grp, round(coalesce(regr_slope(rate, t), 0), 9) AS slope, count(*) AS points FROM series GROUP BY 1")
+@query("compounding_slope", f"WITH {SERIES} SELECT grp, CASE WHEN count(DISTINCT t) < 2 THEN 0.0 ELSE round(regr_slope(rate, t), 9) END AS slope, count(*) AS points FROM series GROUP BY 1")
 def slopes(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.slope(series(spark, d))
 
