@@ -14,7 +14,7 @@ first BEST_ROUNDS every document checks its best candidate outside its own compo
 between different components is confirmed next, until nothing is left. So a group of thousands of near
 copies costs a few checks for each document, not one for each pair. What a window leaves out inside a
 crowded region is then caught up exactly: documents outside the region's largest component are compared
-with all documents of other components in the region, sketch by sketch in blocks.
+with all documents of other components in the region, on full sets inside blocks of bounded size.
 
 A link at similarity 0.8 agrees on two given hashes with probability 0.64; 16 orders miss it with
 probability 8e-8.
@@ -37,11 +37,10 @@ from pyspark.sql import functions as F
 
 from graphloom.components import components
 from graphloom.frames import checkpointed, pick, read, shuffle_partitions
-from graphloom.llm.runs import blocks
 
 HASHES, TREES, STEP, MIN_DEPTH, WINDOW, BEST_ROUNDS = 64, 16, 4, 2, 4, 3
-#: Documents of a crowded region that one block of the catching-up holds.
-BLOCK = 2048
+#: Documents of a crowded region, and shingles of them all, that one block of the catching-up holds.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,48 +154,88 @@ def forest_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     return laid.mapInArrow(neighbours, "a long, b long, alike double").groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
-def crowded_pairs(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs between different components that share a region too large for the window.
+def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a region too large for the window.
 
-    Each document outside the largest component of its region meets all documents of the region, which
-    are dealt out in blocks; only similar pairs leave a block.
+    Each document outside the largest component of its region meets all documents of the region. The
+    region is dealt out in blocks of bounded rows and shingles; a block holds the full sets of its
+    documents and counts what each asking document shares with them, so a pair is confirmed where it is
+    found and only links leave the block, at most one for each document and component. Two documents
+    that share several such regions are compared in the first one.
     """
     n = shuffle_partitions(nodes.sparkSession)
+    threshold = percent / 100
     least = least_alike(threshold)
+    lead = np.arange(TREES) * STEP
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
-                keys = [_mixed(_mixed((sig[:, t * STEP] << np.uint64(32) | sig[:, t * STEP + 1]) + np.uint64(t)) + _M).view(np.int64) for t in range(TREES)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(b.column(0).to_numpy(), TREES)), pa.array(np.concatenate(keys))], ["node", "region"])
+                sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+                for t in range(TREES):
+                    key = _mixed(_mixed((sig[:, t * STEP] << np.uint64(32) | sig[:, t * STEP + 1]) + np.uint64(t)) + _M).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key)], ["node", "n_shingles", "t", "region"])
 
-    regions = nodes.select("node", "sig").mapInArrow(keyed, "node long, region long")
-    crowded = regions.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > WINDOW + 1)
-    rows = regions.join(crowded, "region").join(comps, "node", "left").select("region", "m", "node", F.coalesce("component", "node").alias("comp"))
+    regions = nodes.select("node", "n_shingles", "sig").mapInArrow(keyed, "node long, n_shingles long, t int, region long")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    crowded = regions.groupBy("region").agg(F.count("*").alias("m"), parts.alias("parts")).filter(F.col("m") > WINDOW + 1)
+    rows = regions.join(crowded, "region").join(comps, "node", "left").select("region", "t", "parts", "node", F.coalesce("component", "node").alias("comp"))
     rows = checkpointed(rows)
     tops = rows.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
-    mixed = rows.join(tops.filter("comps > 1"), "region").join(nodes.select("node", "n_shingles", "sig"), "node")
-    mixed = checkpointed(mixed.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("asks", F.col("comp") != F.col("top")))
-    columns = ["region", "part", "asks", "node", "comp", "n_shingles", "sig"]
-    held = mixed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("asks", F.lit(False)).select(columns)
-    asking = mixed.filter("asks").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(columns)
-    work = held.unionByName(asking).repartition(n, "region", "part").sortWithinPartitions("region", "part", "node")
+    spot = F.struct("region", "t", "parts", (F.col("comp") != F.col("top")).alias("asks"))
+    # a document is in one region of each tree, so the list stays short
+    spots = rows.join(tops.filter("comps > 1"), "region").groupBy("node", "comp").agg(F.collect_list(spot).alias("spots"), F.expr("bit_or(shiftleft(1, t))").alias("trees"))
+    spots = spots.join(nodes.select("node", "sig", F.col("stands.id").alias("id"), F.col("stands.th").alias("th")), "node")
+    spots = source.join(spots, ["id", "th"]).dropDuplicates(["node"])
+    own = "array(struct(s.region, s.t, cast(pmod(xxhash64(node), s.parts) as int) as part, false as asks))"
+    all_parts = "transform(sequence(0, s.parts - 1), p -> struct(s.region, s.t, p as part, true as asks))"
+    each = F.explode(F.expr(f"flatten(transform(spots, s -> if(s.asks, concat({own}, {all_parts}), {own})))")).alias("at")
+    work = spots.select(each, "node", "comp", "trees", "sig", "text").select("at.*", "node", "comp", "trees", "sig", "text")
+    work = work.repartition(n, "region", "part").sortWithinPartitions("region", "part", "asks", "node")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in blocks(batches, ["region", "part"]):
-            asks, ids, comp, sizes = t.column("asks").to_numpy(), t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                there = s + np.flatnonzero(~asks[s:e])
-                for x in s + np.flatnonzero(asks[s:e]):
-                    y = there[(comp[there] != comp[x]) & (np.minimum(sizes[there], sizes[x]) >= threshold * np.maximum(sizes[there], sizes[x]) - 1e-9)]
-                    alike = (sig[y] == sig[x]).mean(1)
-                    y, alike = y[alike >= least], alike[alike >= least]
-                    if len(y):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[y], ids[x])), pa.array(np.maximum(ids[y], ids[x])), pa.array(alike)], ["a", "b", "alike"])
-
-    return work.mapInArrow(compared, "a long, b long, alike double").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+        place, held, block = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            region, t, part, asks, ids, comp, trees = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            sig = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint32).reshape(-1, HASHES)
+            texts = b.column(8).cast(pa.binary())
+            in_trees = (trees[:, None] >> np.arange(TREES) & 1).astype(bool)
+            found_a, found_b = [], []
+            for i in range(b.num_rows):
+                if (region[i], part[i]) != place:
+                    place, held, block = (region[i], part[i]), [], None
+                items = shingles(texts[i].as_py(), width)
+                if not asks[i]:
+                    held.append((ids[i], comp[i], sig[i], in_trees[i], items))
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    sizes = np.array([len(x[4]) for x in held])
+                    words, at = np.unique(np.concatenate([x[4] for x in held]), return_inverse=True)
+                    at = np.split(at, np.cumsum(sizes)[:-1])
+                    block = (*(np.array([x[c] for x in held]) for c in range(4)), sizes, words, at, np.zeros(len(words), np.int32))
+                ids_, comp_, sig_, in_, sizes, words, at, mark = block
+                y = np.flatnonzero((comp_ != comp[i]) & (np.minimum(sizes, len(items)) >= threshold * np.maximum(sizes, len(items)) - 1e-9))
+                same = sig_[y] == sig[i]
+                shared = same[:, lead] & same[:, lead + 1] & in_[y] & in_trees[i]
+                y = y[(same.mean(1) >= least) & shared.any(1) & (shared.argmax(1) == t[i])]
+                if not len(y):
+                    continue
+                spot = np.minimum(np.searchsorted(words, items), len(words) - 1)
+                spot = spot[words[spot] == items]
+                mark[spot] = 1
+                both = np.add.reduceat(mark[np.concatenate([at[k] for k in y])], np.append(0, np.cumsum(sizes[y])[:-1]))
+                mark[spot] = 0
+                y = y[100 * both >= percent * (sizes[y] + len(items) - both)]
+                for k in y[np.unique(comp_[y], return_index=True)[1]]:
+                    found_a.append(min(ids_[k], ids[i]))
+                    found_b.append(max(ids_[k], ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    return work.mapInArrow(compared, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -237,12 +276,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = checkpointed(forest_pairs(nodes, percent / 100))
     source = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th"), "text")
 
-    def linked(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """All links confirmed so far, and their components, once no pair is left between components."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("stands.id").alias("id"), F.col("stands.th").alias("th"))
         texts = checkpointed(source.join(wanted, ["id", "th"]).select("node", "text").dropDuplicates(["node"]))
-        links = pairs.select("a", "b").limit(0) if links is None else links
+        links = pairs.select("a", "b").limit(0)
         turn = 0
         while True:
             comps = components(links)
@@ -260,10 +299,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             pairs = pairs.join(ask, ["a", "b"], "left_anti")
             turn += 1
 
-    links, comps = linked(pairs, None)
-    rest = checkpointed(crowded_pairs(nodes, comps, percent / 100).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links, comps = linked(rest, links)
+    links, comps = linked(pairs)
+    caught = checkpointed(crowded_links(nodes, comps, source, width, percent))
+    if not caught.isEmpty():
+        comps = components(links.unionByName(caught))
     placed = checkpointed(nodes.select("node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = placed.join(ids, "component").select(F.col("node").alias("of"), "component_id")

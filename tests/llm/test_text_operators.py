@@ -209,3 +209,39 @@ def test_pipeline_stages(spark):
     assert mixed.columns == corpus_pipeline.COLUMNS
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     assert corpus_pipeline.bpe(spark, mixed, SF).count() == mixed.count()
+
+
+def test_minhash_crowded_regions_lose_no_link(spark, monkeypatch):
+    """One base text with ever more edits: most copies fall just under or over the similarity in crowded regions."""
+    from graphloom.llm import minhash_dedup as M
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(M.shingles(x.encode(), 2).tolist()) for x in texts]
+    top = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top[i], top[j]
+                if a != b:
+                    top = [min(a, b) if x in (a, b) else x for x in top]
+    for block in (2048, 64):
+        monkeypatch.setattr(M, "BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in rows(M.near_duplicates(docs, width=2))}
+        assert got == dict(enumerate(top))
+    # without links from the window the catching-up alone has to find the components
+    features = M.set_features(docs, 2).cache()
+    nodes = features.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("id"), "th")).alias("stands"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    none = spark.createDataFrame([], "node long, component long")
+    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
+    links = M.crowded_links(nodes, none, source, 2, 80).collect()
+    id_of = {r["node"]: r["doc_id"] for r in rows(features)}
+    assert links and all((lambda s, t: 100 * len(s & t) >= 80 * len(s | t))(sets[id_of[r.a]], sets[id_of[r.b]]) for r in links)
