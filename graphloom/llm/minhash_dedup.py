@@ -186,7 +186,7 @@ def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width:
     # a document is in one region of each tree, so the list stays short
     spots = rows.join(tops.filter("comps > 1"), "region").groupBy("node", "comp").agg(F.collect_list(spot).alias("spots"), F.expr("bit_or(shiftleft(1, t))").alias("trees"))
     spots = spots.join(nodes.select("node", "sig", F.col("stands.id").alias("id"), F.col("stands.th").alias("th")), "node")
-    spots = source.join(spots, ["id", "th"]).dropDuplicates(["node"])
+    spots = source.join(spots, ["id", "th"]).dropDuplicates(["id", "th"])
     own = "array(struct(s.region, s.t, cast(pmod(xxhash64(node), s.parts) as int) as part, false as asks))"
     all_parts = "transform(sequence(0, s.parts - 1), p -> struct(s.region, s.t, p as part, true as asks))"
     each = F.explode(F.expr(f"flatten(transform(spots, s -> if(s.asks, concat({own}, {all_parts}), {own})))")).alias("at")
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         """All links confirmed so far, and their components, once no pair is left between components."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("stands.id").alias("id"), F.col("stands.th").alias("th"))
-        texts = checkpointed(source.join(wanted, ["id", "th"]).select("node", "text").dropDuplicates(["node"]))
+        texts = checkpointed(source.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "text"))
         links = pairs.select("a", "b").limit(0)
         turn = 0
         while True:
