@@ -40,7 +40,7 @@ from graphloom.frames import checkpointed, pick, read, shuffle_partitions
 
 HASHES, TREES, STEP, MIN_DEPTH, WINDOW, BEST_ROUNDS = 64, 16, 4, 2, 4, 3
 #: Documents of a crowded region, and shingles of them all, that one block of the catching-up holds.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,11 +157,12 @@ def forest_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
 def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between different components that share a region too large for the window.
 
-    Each document outside the largest component of its region meets all documents of the region. The
-    region is dealt out in blocks of bounded rows and shingles; a block holds the full sets of its
+    Each document outside the largest component of its region meets all documents of the region. Regions
+    with the same largest component are taken together, so that a text goes to them once and not once for
+    each tree. They are dealt out in blocks of bounded rows and shingles; a block holds the full sets of its
     documents and counts what each asking document shares with them, so a pair is confirmed where it is
     found and only links leave the block, at most one for each document and component. Two documents
-    that share several such regions are compared in the first one.
+    that share several such regions are compared where the first one of them is.
     """
     n = shuffle_partitions(nodes.sparkSession)
     threshold = percent / 100
@@ -177,35 +178,37 @@ def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key)], ["node", "n_shingles", "t", "region"])
 
     regions = nodes.select("node", "n_shingles", "sig").mapInArrow(keyed, "node long, n_shingles long, t int, region long")
-    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    crowded = regions.groupBy("region").agg(F.count("*").alias("m"), parts.alias("parts")).filter(F.col("m") > WINDOW + 1)
-    rows = regions.join(crowded, "region").join(comps, "node", "left").select("region", "t", "parts", "node", F.coalesce("component", "node").alias("comp"))
+    crowded = regions.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > WINDOW + 1)
+    rows = regions.join(crowded, "region").join(comps, "node", "left").select("region", "t", "node", "n_shingles", F.coalesce("component", "node").alias("comp"))
     rows = checkpointed(rows)
     tops = rows.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
-    spot = F.struct("region", "t", "parts", (F.col("comp") != F.col("top")).alias("asks"))
+    met = rows.join(tops.filter("comps > 1"), "region").groupBy("node", "comp", "top").agg(F.expr("bit_or(shiftleft(1, t))").alias("trees_here"), F.first("n_shingles").alias("n_shingles"))
+    met = checkpointed(met)
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     # a document is in one region of each tree, so the list stays short
-    spots = rows.join(tops.filter("comps > 1"), "region").groupBy("node", "comp").agg(F.collect_list(spot).alias("spots"), F.expr("bit_or(shiftleft(1, t))").alias("trees"))
+    spot = F.struct("top", "trees_here", "parts", (F.col("comp") != F.col("top")).alias("asks"))
+    spots = met.join(met.groupBy("top").agg(parts.alias("parts")), "top").groupBy("node", "comp").agg(F.collect_list(spot).alias("spots"), F.expr("bit_or(trees_here)").alias("trees"))
     spots = spots.join(nodes.select("node", "sig", F.col("stands.id").alias("id"), F.col("stands.th").alias("th")), "node")
     spots = source.join(spots, ["id", "th"]).dropDuplicates(["id", "th"])
-    own = "array(struct(s.region, s.t, cast(pmod(xxhash64(node), s.parts) as int) as part, false as asks))"
-    all_parts = "transform(sequence(0, s.parts - 1), p -> struct(s.region, s.t, p as part, true as asks))"
+    own = "array(struct(s.top, s.trees_here, cast(pmod(xxhash64(node), s.parts) as int) as part, false as asks))"
+    all_parts = "transform(sequence(0, s.parts - 1), p -> struct(s.top, s.trees_here, p as part, true as asks))"
     each = F.explode(F.expr(f"flatten(transform(spots, s -> if(s.asks, concat({own}, {all_parts}), {own})))")).alias("at")
     work = spots.select(each, "node", "comp", "trees", "sig", "text").select("at.*", "node", "comp", "trees", "sig", "text")
-    work = work.repartition(n, "region", "part").sortWithinPartitions("region", "part", "asks", "node")
+    work = work.repartition(n, "top", "part").sortWithinPartitions("top", "part", "asks", "node")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, block = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            region, t, part, asks, ids, comp, trees = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            top, here, part, asks, ids, comp, trees = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             sig = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint32).reshape(-1, HASHES)
             texts = b.column(8).cast(pa.binary())
             in_trees = (trees[:, None] >> np.arange(TREES) & 1).astype(bool)
             found_a, found_b = [], []
             for i in range(b.num_rows):
-                if (region[i], part[i]) != place:
-                    place, held, block = (region[i], part[i]), [], None
+                if (top[i], part[i]) != place:
+                    place, held, block = (top[i], part[i]), [], None
                 items = shingles(texts[i].as_py(), width)
                 if not asks[i]:
                     held.append((ids[i], comp[i], sig[i], in_trees[i], items))
@@ -221,7 +224,7 @@ def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width:
                 y = np.flatnonzero((comp_ != comp[i]) & (np.minimum(sizes, len(items)) >= threshold * np.maximum(sizes, len(items)) - 1e-9))
                 same = sig_[y] == sig[i]
                 shared = same[:, lead] & same[:, lead + 1] & in_[y] & in_trees[i]
-                y = y[(same.mean(1) >= least) & shared.any(1) & (shared.argmax(1) == t[i])]
+                y = y[(same.mean(1) >= least) & shared.any(1) & (here[i] >> shared.argmax(1) & 1).astype(bool)]
                 if not len(y):
                     continue
                 spot = np.minimum(np.searchsorted(words, items), len(words) - 1)
