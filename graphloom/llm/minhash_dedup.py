@@ -8,16 +8,18 @@ the order goes on through the whole signature, a crowded region is sorted ever d
 document meets the WINDOW next ones, those with the longest common prefixes. Orders are range
 partitioned by the prefix itself, so a crowded region is spread over partitions.
 
-Candidates whose sketches cannot be similar are dropped (one byte for each hash; the bound lies four
-standard deviations below the threshold). Links are confirmed on full sets, in rounds: in each of the
+Candidates of the forest whose sketches are not similar are dropped (one byte for each hash; the bound
+lies seven standard deviations below the threshold). Links are confirmed on full sets, in rounds: in each of the
 first BEST_ROUNDS every document checks its best candidate outside its own component; what still runs
 between different components is confirmed next, until nothing is left. So a group of thousands of near
 copies costs a few checks for each document, not one for each pair. What a window leaves out inside a
 crowded region is then caught up exactly: documents outside the region's largest component are compared
-with all documents of other components in the region, on full sets inside blocks of bounded size.
+with all documents of other components in the region, on full sets inside blocks of bounded size; there
+only sizes rule a pair out, never sketches.
 
 A link at similarity 0.8 agrees on two given hashes with probability 0.64; 16 orders miss it with
-probability 8e-8.
+probability 8e-8. By the binomial its sketches agree in fewer than 29 of 64 hashes, and the forest drops
+it, with probability 1.8e-10.
 
 Defined results: null and empty texts and texts without words have an empty set, 0 shingles and
 link with nothing; fewer words than a shingle give one shingle, the whole sequence; rows that repeat
@@ -102,8 +104,8 @@ def set_features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def least_alike(threshold: float) -> float:
-    """Share of equal signature hashes, four standard deviations below the threshold."""
-    return threshold - 4 * (threshold * (1 - threshold) / HASHES) ** 0.5
+    """Share of equal signature hashes, seven standard deviations below the threshold."""
+    return threshold - 7 * (threshold * (1 - threshold) / HASHES) ** 0.5
 
 
 def forest_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -166,7 +168,6 @@ def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width:
     """
     n = shuffle_partitions(nodes.sparkSession)
     threshold = percent / 100
-    least = least_alike(threshold)
     lead = np.arange(TREES) * STEP
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width:
                 y = np.flatnonzero((comp_ != comp[i]) & (np.minimum(sizes, len(items)) >= threshold * np.maximum(sizes, len(items)) - 1e-9))
                 same = sig_[y] == sig[i]
                 shared = same[:, lead] & same[:, lead + 1] & in_[y] & in_trees[i]
-                y = y[(same.mean(1) >= least) & shared.any(1) & (here[i] >> shared.argmax(1) & 1).astype(bool)]
+                y = y[shared.any(1) & (here[i] >> shared.argmax(1) & 1).astype(bool)]
                 if not len(y):
                     continue
                 spot = np.minimum(np.searchsorted(words, items), len(words) - 1)

@@ -245,3 +245,29 @@ def test_minhash_crowded_regions_lose_no_link(spark, monkeypatch):
     links = M.crowded_links(nodes, none, source, 2, 80).collect()
     id_of = {r["node"]: r["doc_id"] for r in rows(features)}
     assert links and all((lambda s, t: 100 * len(s & t) >= 80 * len(s | t))(sets[id_of[r.a]], sets[id_of[r.b]]) for r in links)
+
+
+def test_minhash_sketches_rule_no_link_out(spark):
+    """Links whose signatures agree in few hashes: 34 of 64 in the forest, two in a crowded region."""
+    from math import comb
+
+    from graphloom.llm import minhash_dedup as M
+
+    below = int(np.ceil(M.HASHES * M.least_alike(0.8)))
+    assert sum(comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(below)) < 8e-8
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**32, M.HASHES, np.uint32)
+    far = np.where(np.arange(M.HASHES) < 34, base, base + np.uint32(1))
+    pair = spark.createDataFrame([(1, 10, bytearray(base.tobytes())), (2, 10, bytearray(far.tobytes()))], "node long, n_shingles long, sig binary")
+    assert [(r["a"], r["b"]) for r in rows(M.forest_pairs(pair, 0.8))] == [(1, 2)]
+    words = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(8):
+        sig = rng.integers(0, 2**32, M.HASHES, np.uint32)
+        sig[:2] = base[:2]
+        text = " ".join([*words, f"x{i}"])
+        data.append((i, (i, i), len(M.shingles(text.encode(), 2)), bytearray(sig.tobytes()), text))
+    every = spark.createDataFrame(data, "node long, stands struct<id: long, th: long>, n_shingles long, sig binary, text string")
+    source = every.select("stands.id", "stands.th", "text")
+    none = spark.createDataFrame([], "node long, component long")
+    assert M.crowded_links(every.drop("text"), none, source, 2, 80).count() == 28
