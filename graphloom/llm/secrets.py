@@ -3,15 +3,16 @@
 Candidates are runs of 16 or more letters, digits and +/=_- in whole texts. A forest judges each by its
 length, its character classes and transitions, its entropy, how much of it dictionary words cover,
 its path (the source) and its neighbouring words. It is trained on labelled findings, at most about
-FINDINGS of them (a hash chooses them). The query labels findings by how they stand: a hexadecimal
+FINDINGS of them: equal ones are taken once with their number as weight, and a hash chooses in each
+label on its own, the rare one being taken whole where it has no more than half of FINDINGS. The query labels findings by how they stand: a hexadecimal
 or mixed run that is assigned to a name such as token, secret, password or key is a finding that was
 confirmed, any other candidate one that was rejected; the forest then judges without the assignment
 sign, from the features alone. The dictionary is every word in at least one of DICTIONARY documents; so a
 document's mean number of different words times DICTIONARY bounds it.
 
 Defined results: null and empty texts have no candidates; doc_ids pass through, null or repeated;
-without labelled findings of both kinds nothing can be told apart and every candidate is kept as a
-secret with score 1; an empty table gives an empty one; extra columns are dropped.
+without confirmed findings no candidate is a secret and every score is 0; with confirmed findings alone
+every candidate is one with score 1; an empty table gives an empty one; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -116,14 +117,21 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.in
 
 def judge(found: DataFrame, labelled: DataFrame) -> DataFrame:
     """found(features, ...) and labelled(features, label 0/1) -> found with score and is_secret."""
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    if not (counts.get(0) and counts.get(1)):
-        return found.withColumn("score", F.lit(1.0)).withColumn("is_secret", F.lit(True))
-    total = sum(counts.values())
-    key = F.pmod(F.xxhash64(F.col("features").cast("string")), F.lit(1_000_000))
-    train = labelled if total <= FINDINGS else labelled.filter(key < int(1e6 * FINDINGS / total))
-    train = train.select(array_to_vector("features").alias("vector"), F.col("label").cast("double").alias("label"))
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", probabilityCol="chance", numTrees=24, maxDepth=6, seed=5, featureSubsetStrategy="onethird").fit(train)
+    kinds = labelled.filter("label is not null").groupBy("features", "label").agg(F.count("*").cast("double").alias("weight"))
+    kinds = checkpointed(kinds)
+    counts = {r["label"]: r["n"] for r in kinds.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    no, yes = counts.get(0, 0), counts.get(1, 0)
+    part = {0: max(FINDINGS // 2, FINDINGS - yes) / max(no, 1), 1: max(FINDINGS // 2, FINDINGS - no) / max(yes, 1)}
+    key = F.pmod(F.xxhash64("features"), F.lit(1 << 30)) / (1 << 30)
+    # what is left out of a label counts in the weight of what is taken, so the odds stay those of all findings
+    share = F.when(F.col("label") == 1, min(1.0, part[1])).otherwise(min(1.0, part[0]))
+    train = checkpointed(kinds.filter(key < share).withColumn("weight", F.col("weight") / share))
+    taken = {r["label"] for r in train.select("label").distinct().collect()}  # two rows
+    if taken != {0, 1}:
+        only = float(taken == {1})
+        return found.withColumn("score", F.lit(only)).withColumn("is_secret", F.lit(only > 0))
+    train = train.select(array_to_vector("features").alias("vector"), F.col("label").cast("double").alias("label"), "weight")
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", probabilityCol="chance", numTrees=24, maxDepth=6, seed=5, featureSubsetStrategy="onethird").fit(train)
     out = forest.transform(found.withColumn("vector", array_to_vector("features")))
     score = vector_to_array("chance")[1]
     return out.withColumn("score", score).withColumn("is_secret", F.col("score") >= 0.5).drop("vector", "chance", "rawPrediction", "prediction")

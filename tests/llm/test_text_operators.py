@@ -271,3 +271,19 @@ def test_minhash_sketches_rule_no_link_out(spark):
     source = every.select("stands.id", "stands.th", "text")
     none = spark.createDataFrame([], "node long, component long")
     assert M.crowded_links(every.drop("text"), none, source, 2, 80).count() == 28
+
+
+def test_secrets_without_confirmed_findings_and_with_few(spark, monkeypatch):
+    from graphloom.llm import secrets as S
+
+    texts = [f"internationalization{i} counterrevolutionaries 98079157628044{i:04d}" for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = rows(S.scan(docs))
+    assert len(found) == 60 and not any(r["is_secret"] or r["score"] for r in found)
+    assert [r["text"] for r in rows(S.redact(docs).orderBy("doc_id"))] == texts
+    monkeypatch.setattr(S, "FINDINGS", 100)
+    data = [([float(i), float(i % 7)], 0) for i in range(5000)] + [([-5.0, -5.0 - i], 1) for i in range(3)] + [([-4.0, -4.0], 1)] * 200
+    labelled = spark.createDataFrame(data, "features array<double>, label int")
+    judged = rows(S.judge(labelled, labelled))
+    assert sum(r["is_secret"] for r in judged if r["label"]) == 203 and not any(r["is_secret"] for r in judged if not r["label"])
+    assert all(r["is_secret"] for r in rows(S.judge(labelled, labelled.filter("label = 1"))))
