@@ -1,13 +1,15 @@
 """Secret scans with a random forest for false positives (operator 8).
 
-Candidates are runs of 16 or more letters, digits and +/=_- in whole texts. A forest judges each by its
+Candidates are the values assigned to a name such as token, secret, password or key, from SHORTEST
+characters on over any non-space characters, and elsewhere runs of 16 or more letters, digits and +/=_-,
+in whole texts. A forest judges each by its
 length, its character classes and transitions, its entropy, how much of it dictionary words cover,
 its path (the source) and its neighbouring words. It is trained on labelled findings, at most about
 FINDINGS of them: equal ones are taken once with their number as weight, and a hash chooses in each
 label on its own, the rare one being taken whole where it has no more than half of FINDINGS. The query labels findings by how they stand: a hexadecimal
-or mixed run that is assigned to a name such as token, secret, password or key is a finding that was
-confirmed, any other candidate one that was rejected; the forest then judges without the assignment
-sign, from the features alone. The dictionary is every word in at least one of DICTIONARY documents; so a
+value or one with digits that is assigned to such a name is a finding that was confirmed, a candidate
+that is not assigned one that was rejected, and other assigned values have no label; the forest then
+judges all without the assignment sign, from the features alone. The dictionary is every word in at least one of DICTIONARY documents; so a
 document's mean number of different words times DICTIONARY bounds it.
 
 Defined results: null and empty texts have no candidates; doc_ids pass through, null or repeated;
@@ -32,9 +34,13 @@ from pyspark.sql import functions as F
 
 from graphloom.frames import checkpointed, pick, read
 
-FINDINGS, DICTIONARY, HASHED = 20_000, 500, 16
+FINDINGS, DICTIONARY, HASHED, SHORTEST = 20_000, 500, 16, 6
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{15,}")
-_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)[\"']?\s*(?::=|=>|=|:)\s*[\"']?$")
+#: A value in quotes ends before the quote; the marks that end a bare one's sentence are not its own.
+_NAMED = re.compile(
+    r"(?:token|secret(?:[_-]?key)?|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)[\"']?\s*(?::=|=>|=|:)\s*"
+    rf"(?:\"(?P<double>[^\s\"]{{{SHORTEST},}})\"|'(?P<single>[^\s']{{{SHORTEST},}})'|(?P<bare>\S{{{SHORTEST - 1},}}[^\s.,;:\"']))", re.IGNORECASE,
+)
 _NEAR = re.compile(r"[^\W_]+")
 _LOWER = re.compile(r"[a-z]{3,}")
 
@@ -86,8 +92,30 @@ def _slot(word: str) -> int:
     return zlib.crc32(word.lower().encode()) % HASHED
 
 
+def spans(text: str) -> list[tuple[int, int, bool]]:
+    """Start, end, whether assigned to a secret name, of the candidates of a text; none overlap."""
+    out, names = [], []
+    for m in _NAMED.finditer(text):
+        start, end = m.span(m.lastgroup)
+        out.append((start, end, True))
+        names.append((m.start(), end))
+    at = 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        while at < len(names) and names[at][1] <= start:
+            at += 1
+        # what stands before a name or after a value is a candidate of its own
+        pieces, k = [], at
+        while k < len(names) and names[k][0] < end:
+            pieces.append((start, names[k][0]))
+            start = max(start, names[k][1])
+            k += 1
+        out.extend((a, b, False) for a, b in [*pieces, (start, end)] if b - a >= 16)
+    return sorted(out)
+
+
 def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
-    """docs(doc_id, text, source, th) -> doc_id, th, start, length, secret, features, named."""
+    """docs(doc_id, text, source, th) -> doc_id, th, start, length, secret, features, named (null: not known)."""
     shared = docs.sparkSession.sparkContext.broadcast(set(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +125,8 @@ def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
                 part = b.slice(at, 256)
                 rows = []
                 for doc_id, text, source, th in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "source", "th")], strict=True):
-                    for m in _RUN.finditer(text or ""):
-                        s, lead, tail = m.group(), text[max(0, m.start() - 48) : m.start()], text[m.end() : m.end() + 32]
+                    for start, end, named in spans(text or ""):
+                        s, lead, tail = text[start:end], text[max(0, start - 48) : start], text[end : end + 32]
                         left, right = _NEAR.findall(lead)[-2:], _NEAR.findall(tail)[:1]
                         near = np.zeros(2 * HASHED)
                         for w in left:
@@ -106,7 +134,7 @@ def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
                         for w in right:
                             near[HASHED + _slot(w)] = 1
                         f = [*_shape(s), _covered(s, known), float(zlib.crc32((source or "").encode()) % 64), *near]
-                        rows.append({"doc_id": doc_id, "th": th, "start": m.start(), "length": len(s), "secret": s, "features": f, "named": _NAMED.search(lead) is not None and (f[7] > 0 or f[3] > 0.1)})
+                        rows.append({"doc_id": doc_id, "th": th, "start": start, "length": len(s), "secret": s, "features": f, "named": (True if f[7] > 0 or f[3] > 0.1 else None) if named else False})
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return docs.select("doc_id", "text", "source", "th").mapInArrow(run, "doc_id long, th long, start long, length long, secret string, features array<double>, named boolean")
@@ -145,12 +173,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with each secret in text replaced by the mark, and n_chars, where there, counted again."""
+    """docs with each secret in text replaced by the mark, and n_chars, where there, counted again.
+
+    A secret goes wherever it stands in its text; one of letters alone only as a whole word.
+    """
     bad = scan(docs).filter("is_secret").select("th", "secret").distinct().groupBy("th").agg(F.collect_set("secret").alias("bad_"))
     columns = docs.columns
     keyed = docs.withColumn("th_", F.xxhash64("text"))
     out = keyed.join(bad.withColumnRenamed("th", "th_"), "th_", "left")
-    clean = F.expr(f"case when bad_ is null then text else aggregate(array_sort(bad_, (x, y) -> length(y) - length(x)), text, (t, s) -> replace(t, s, '{mark}')) end")
+    clean = F.expr(f"case when bad_ is null then text else aggregate(array_sort(bad_, (x, y) -> length(y) - length(x)), text, (t, s) -> if(s rlike '^[A-Za-z]+$', regexp_replace(t, concat('(?<![A-Za-z])', s, '(?![A-Za-z])'), '{mark}'), replace(t, s, '{mark}'))) end")
     out = out.withColumn("text", clean)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("bad_").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

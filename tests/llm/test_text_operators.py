@@ -287,3 +287,22 @@ def test_secrets_without_confirmed_findings_and_with_few(spark, monkeypatch):
     judged = rows(S.judge(labelled, labelled))
     assert sum(r["is_secret"] for r in judged if r["label"]) == 203 and not any(r["is_secret"] for r in judged if not r["label"])
     assert all(r["is_secret"] for r in rows(S.judge(labelled, labelled.filter("label = 1"))))
+
+
+def test_secrets_assigned_values(spark):
+    """Short values and those split by other characters, as the reference's own patterns take them."""
+    from graphloom.llm.secrets import redact, scan, spans
+
+    of = lambda t: [t[a:b] for a, b, _ in spans(t)]
+    assert of("password: hunter22!x and api_key=ab.cd12.ef34, MY_TOKEN=abcd1234.") == ["hunter22!x", "ab.cd12.ef34", "abcd1234"]
+    assert of('{"pwd": "a\'b,c;12", "auth" : \'x y\'} secret_key := "0123456789abcdef0123"') == ["a'b,c;12", "0123456789abcdef0123"]
+    assert of("0123456789abcdefXtoken=abc12") == ["0123456789abcdefXtoken=abc12"] and of("0123456789abcdefX_token=abc123") == ["0123456789abcdefX_", "abc123"]
+    words = "alpha beta gamma delta internationalization counterrevolutionaries"
+    values = [v.format(i) for i in range(30) for v in ("password: hunter{0:02d}!x", "api_key=ab.cd{0:02d}.ef34", "MY_TOKEN=abcd{0:04d}", "secret = pwqxzv{0:02d}gh")] + ["password: correcthorsebattery"] * 3
+    docs = spark.createDataFrame([(i, f"{words} {v} {words}", "en", "s", 1) for i, v in enumerate(values)], "doc_id long, text string, lang string, source string, n_chars long")
+    secret = [v.replace("=", " ").split()[-1] for v in values]
+    found = [r for r in rows(scan(docs)) if r["secret"] not in words]
+    assert {(r["doc_id"], r["secret"]) for r in found} == set(enumerate(secret))
+    assert all(r["named"] is (None if r["doc_id"] >= 120 else True) for r in found)  # plain letters are not labelled as rejected
+    assert {r["doc_id"] for r in found if r["is_secret"]} >= set(range(120))
+    assert all(secret[r["doc_id"]] not in r["text"] and "[REDACTED]" in r["text"] and words in r["text"] for r in rows(redact(docs).filter("doc_id < 120")))
