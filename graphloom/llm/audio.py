@@ -3,7 +3,7 @@
 A payload is stored as an MPEG-1 layer III stream: an ID3v2 tag, a Xing header frame, then mono
 48 kHz frames that are silent (zero side information) and carry the payload in their ancillary
 bytes, each with a checksum. The reader works on any MPEG audio: it finds frame headers again after
-damage, reads ID3 tags and the Xing or VBRI table, verifies checksums, and gives exact durations
+damage, reads ID3 tags and the Xing or VBRI table, verifies checksums of layer III alone, and gives exact durations
 (samples over rate) and the byte offset of every frame.
 
 Defined results: null text counts as empty (64 zero bytes); equal payloads give equal streams; null
@@ -123,22 +123,29 @@ def scan(data: bytes) -> dict:
         n = 0
         for b in data[pos + 6 : pos + 10]:
             n = n << 7 | b & 0x7F
-        p, stop = pos + 10, min(end, pos + 10 + n)
-        while p + 10 <= stop and data[p] and data[pos + 3] == 3:
-            size = struct.unpack(">I", data[p + 4 : p + 8])[0]
-            tags[data[p : p + 4].decode("latin-1")] = data[p + 11 : min(stop, p + 10 + size)].decode("latin-1")
-            p += 10 + size
+        p, stop, version = pos + 10, min(end, pos + 10 + n), data[pos + 3]
+        name, head = (3, 6) if version == 2 else (4, 10)
+        while version in (2, 3, 4) and p + head <= stop and data[p]:
+            size = int.from_bytes(data[p + name : p + 2 * name], "big")
+            if version == 4:  # seven bits a byte
+                size = sum((size >> 8 * i & 0x7F) << 7 * i for i in range(4))
+            tags[data[p : p + name].decode("latin-1")] = data[p + head + 1 : min(stop, p + head + size)].decode("latin-1")
+            p += head + size
         pos = min(end, pos + 10 + n + (10 if data[pos + 5] & 0x10 else 0))
-    if end - pos >= 128 and data[-128:-125] == b"TAG":
-        tags["v1"] = data[-125:-95].rstrip(b"\x00 ").decode("latin-1")
-        end -= 128
+    # an ID3v1 tag is one only where the walk over the frames comes to it, never inside a frame
+    tail = end - 128 if end - pos >= 128 and data[-128:-125] == b"TAG" else -1
     offsets, parts, samples, rate, resyncs, skipped, bad, checked, table = [], [], 0, 0, 0, 0, 0, 0, None
     lost = True
     while pos + 4 <= end:
+        if pos == tail:
+            tags["v1"] = data[-125:-95].rstrip(b"\x00 ").decode("latin-1")
+            break
         h = frame_header(data[pos : pos + 4])
         whole = h and pos + h[0] <= end
+        if whole and pos < tail < pos + h[0] < end and not frame_header(data[pos + h[0] : pos + h[0] + 4]):
+            whole = False  # a frame cut short by the tag
         # in step, a header is trusted; out of step, another must follow its frame, or the data end there
-        if whole and (not lost or pos + h[0] + 4 > end or frame_header(data[pos + h[0] : pos + h[0] + 4])):
+        if whole and (not lost or pos + h[0] + 4 > end or pos + h[0] == tail or frame_header(data[pos + h[0] : pos + h[0] + 4])):
             lost = False
             length, n, rate, side, layer, protected = h
             body = pos + 4 + 2 * protected
@@ -169,8 +176,10 @@ def scan(data: bytes) -> dict:
             resyncs += not lost
             lost = True
             nxt = data.find(b"\xff", pos + 1, end)
-            skipped += (nxt if nxt >= 0 else end) - pos
-            pos = nxt if nxt >= 0 else end
+            nxt = nxt if nxt >= 0 else end
+            nxt = tail if pos < tail < nxt else nxt
+            skipped += nxt - pos
+            pos = nxt
     return {"tags": tags, "table": table, "offsets": offsets, "samples": samples, "rate": rate, "resyncs": resyncs, "skipped": skipped, "checked": checked, "bad": bad, "payload": b"".join(parts)}
 
 

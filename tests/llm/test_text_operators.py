@@ -306,3 +306,21 @@ def test_secrets_assigned_values(spark):
     assert all(r["named"] is (None if r["doc_id"] >= 120 else True) for r in found)  # plain letters are not labelled as rejected
     assert {r["doc_id"] for r in found if r["is_secret"]} >= set(range(120))
     assert all(secret[r["doc_id"]] not in r["text"] and "[REDACTED]" in r["text"] and words in r["text"] for r in rows(redact(docs).filter("doc_id < 120")))
+
+
+def test_audio_payload_that_looks_like_a_tag():
+    from graphloom.llm.audio import encode, scan
+
+    for size, at in ((128, 15), (896, 807), (896 + 128, 896 + 15)):
+        payload = b"x" * at + b"TAG" + b"y" * (size - at - 3)
+        media = encode(payload)
+        assert media[-128:-125] == b"TAG"
+        s = scan(media)
+        assert s["payload"] == payload and not s["resyncs"] and "v1" not in s["tags"]
+        tag = b"TAG" + b"title".ljust(125, b"\x00")
+        s = scan(media + tag)
+        assert s["payload"] == payload and s["tags"]["v1"] == "title" and not s["skipped"]
+        cut = scan(media[:-40] + tag)
+        assert cut["tags"]["v1"] == "title" and cut["resyncs"] == 1 and len(cut["payload"]) == (len(payload) - 1) // 896 * 896
+    assert scan(b"ID3\x04\x00\x00\x00\x00\x00\x0fTIT2\x00\x00\x00\x05\x00\x00\x03name" + media)["tags"]["TIT2"] == "name"
+    assert scan(b"ID3\x02\x00\x00\x00\x00\x00\x0bTT2\x00\x00\x05\x00name" + media)["tags"]["TT2"] == "name"
