@@ -52,7 +52,7 @@ def hops(spark: SparkSession, d: str) -> DataFrame:
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), (F.col("l_suppkey") + 10000000).alias("target"), F.col("l_quantity").alias("weight"))
     both = e.union(e.select("target", "source", "weight"))
-    return graph.personalized_pagerank(both, read(spark, d, "supplier").select((F.col("s_suppkey") + 10000000).alias("id"), F.lit(1.0).alias("p")), rounds=20)
+    return graph.personalized_pagerank(both, read(spark, d, "supplier").select((F.col("s_suppkey") + 10000000).alias("id"), F.lit(1.0).alias("p")))
 
 
 @query("lint_graph", """

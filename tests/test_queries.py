@@ -49,3 +49,12 @@ def test_pagerank_sums_to_one(spark):
     assert got[2] > got[1] > got[0]
     with pytest.raises(ValueError):
         personalized_pagerank(e, s, alpha=1.5)
+
+
+def test_pagerank_query_runs_all_rounds(spark):
+    """Parts and suppliers swap their rank each round; the suppliers' share goes to 1 / 1.85."""
+    from pyspark.sql import functions as F
+
+    got = __spark_entry__.queries()["personalized_pagerank"](spark, SF)
+    share = got.filter("id >= 10000000").agg(F.sum("rank")).first()[0]
+    assert abs(share - 1 / 1.85) < 2e-4
