@@ -10,7 +10,8 @@ ordinary one by beyond MARGIN nats, divided by the number of words to the power
 curve, fitted on rows that the counts have not seen, turns it into the score.
 
 Counting covers all documents (the shared model) and all labelled rows outside the held-out fold.
-The tables that scoring needs are hashed to SLOTS slots, a fixed size, whatever the vocabulary is.
+The tables that scoring needs are keyed by the exact letter strings and grow with their number: 88 bytes
+for each different string, gathered and broadcast.
 
 Defined results: null and empty texts have no words and score as evidence 0; a null doc_id is held out;
 a document with several labels takes the largest; without labelled rows of both classes every score is
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from graphloom.frames import checkpointed, pick, read
 
-ORDER, DISCOUNT, MARGIN, LENGTH, SLOTS = 4, 0.75, 2.0, 0.7, 1 << 18
+ORDER, DISCOUNT, MARGIN, LENGTH = 4, 0.75, 2.0, 0.7
 #: Rows that fit the logistic curve, at most about so many (a hash of the doc_id chooses them).
 CURVE_ROWS = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,10 +50,21 @@ def grams(word: str) -> list[str]:
     return [s[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(s))]
 
 
-def _slots(strings: list[str]) -> np.ndarray:
-    import xxhash
+class Sums:
+    """Nine sums for each letter string, found by the string itself; zeros for unseen ones."""
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(s) % SLOTS for s in strings), np.int64, len(strings))
+    def __init__(self, strings: list[str], kinds: np.ndarray, sums: np.ndarray):
+        self.keys, at = np.unique(np.array(strings, f"U{ORDER}"), return_inverse=True)
+        self.values = np.zeros((len(self.keys) + 1, 3, 3))
+        self.values[at, kinds] = sums
+        self.values = self.values.reshape(-1, 9)
+
+    def __getitem__(self, strings: list[str]) -> np.ndarray:
+        want = np.array(strings, f"U{ORDER}")
+        at = np.searchsorted(self.keys, want)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == want[known]
+        return self.values[np.where(known, at, len(self.keys))]
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -89,8 +101,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("text", "class").mapInArrow(run, "gram string, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def tables(counts: DataFrame) -> np.ndarray:
-    """counts(gram, toxic, ordinary) -> SLOTS x 9 sums: for a gram its toxic, ordinary and context counts;
+def tables(counts: DataFrame) -> Sums:
+    """counts(gram, toxic, ordinary) -> nine sums for each string: for a gram its toxic, ordinary and context counts;
     for a context the sums and the numbers of continuations of the same three."""
     n = F.length("gram")
     chain = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda j: F.expr("gram").substr(j + 1, n - j))
@@ -99,33 +111,25 @@ def tables(counts: DataFrame) -> np.ndarray:
     grams_ = counts.join(shared, "gram", "full").select("gram", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("toxic", "ordinary", "cont")])
     head = F.expr("substring(gram, 1, length(gram) - 1)")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_slots(b.column(0).to_pylist())), *b.columns[1:]], ["slot", "k", "a", "b", "c"])
-
     rows = grams_.select("gram", F.lit(0).alias("k"), F.col("toxic").alias("a"), F.col("ordinary").alias("b"), F.col("cont").alias("c"))
     heads = grams_.select(head.alias("gram"), F.lit(1).alias("k"), F.col("toxic").alias("a"), F.col("ordinary").alias("b"), F.col("cont").alias("c"))
     types = grams_.select(head.alias("gram"), F.lit(2).alias("k"), *[(F.col(x) > 0).cast("long").alias(y) for x, y in (("toxic", "a"), ("ordinary", "b"), ("cont", "c"))])
     every = rows.unionByName(heads).unionByName(types).groupBy("gram", "k").agg(*[F.sum(c).alias(c) for c in "abc"])
-    sums = every.mapInArrow(hashed, "slot long, k int, a long, b long, c long").groupBy("slot", "k").agg(*[F.sum(c).alias(c) for c in "abc"])
-    t = sums.toArrow()  # at most 3 * SLOTS rows
-    out = np.zeros((SLOTS, 3, 3), np.float32)
-    out[t["slot"].to_numpy(), t["k"].to_numpy()] = np.stack([t[c].to_numpy() for c in "abc"], 1)
-    return out.reshape(SLOTS, 9)
+    t = every.toArrow()  # at most three rows for each string of at most ORDER letters
+    return Sums(t["gram"].to_pylist(), t["k"].to_numpy(), np.stack([t[c].to_numpy() for c in "abc"], 1))
 
 
-def word_evidence(tab: np.ndarray, some: list[str]) -> np.ndarray:
+def word_evidence(tab: Sums, some: list[str]) -> np.ndarray:
     """Toxic minus ordinary log-likelihood of each word."""
     per = [grams(w) for w in some]
     flat = sorted({g for x in per for g in x})
-    gram, head = tab[_slots(flat)], tab[_slots([g[:-1] for g in flat])]
+    gram, head = tab[flat], tab[[g[:-1] for g in flat]]
     # the shared model from one letter up to ORDER - 1
     low = np.full(len(flat), 1 / 256)
     for size in range(1, ORDER):
         has = np.array([len(g) > size for g in flat])
         tails = [g[-size:] for g in flat]
-        t, h = tab[_slots(tails)], tab[_slots([x[:-1] for x in tails])]
+        t, h = tab[tails], tab[[x[:-1] for x in tails]]
         total = np.maximum(h[:, 5], 1)
         p = (np.maximum(t[:, 2] - DISCOUNT, 0) + DISCOUNT * h[:, 8] * low) / total
         low = np.where(has & (h[:, 5] > 0), p, low)
@@ -139,7 +143,7 @@ def word_evidence(tab: np.ndarray, some: list[str]) -> np.ndarray:
     return np.array([sum(value[g] for g in x) for x in per])
 
 
-def evidence(tab: np.ndarray) -> Callable[[list[str | None]], np.ndarray]:
+def evidence(tab: Sums) -> Callable[[list[str | None]], np.ndarray]:
     """A function from texts to their evidence; it remembers words, up to a fixed number."""
     known: dict[str, float] = {}
 

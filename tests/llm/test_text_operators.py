@@ -324,3 +324,13 @@ def test_audio_payload_that_looks_like_a_tag():
         assert cut["tags"]["v1"] == "title" and cut["resyncs"] == 1 and len(cut["payload"]) == (len(payload) - 1) // 896 * 896
     assert scan(b"ID3\x04\x00\x00\x00\x00\x00\x0fTIT2\x00\x00\x00\x05\x00\x00\x03name" + media)["tags"]["TIT2"] == "name"
     assert scan(b"ID3\x02\x00\x00\x00\x00\x00\x0bTT2\x00\x00\x05\x00name" + media)["tags"]["TT2"] == "name"
+
+
+def test_toxicity_sums_of_many_strings_stay_apart():
+    from graphloom.llm.toxicity import Sums
+
+    strings = [chr(0x4E00 + i // 700) + chr(0x4E00 + i % 700) for i in range(300_000)]
+    n = np.arange(len(strings)) + 1
+    sums = Sums(strings, np.zeros(len(n), int), np.stack((n, n, n), 1))
+    assert (sums[strings][:, 0] == n).all() and (sums[strings][:, 3:] == 0).all()
+    assert (sums[["", "a", "\U0001f600"]] == 0).all() and (Sums([], np.zeros(0, int), np.zeros((0, 3)))[["a"]] == 0).all()
