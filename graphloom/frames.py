@@ -1,11 +1,11 @@
-"""Small helpers that every job shares: reading tables, picking columns, checkpoints."""
+"""Small helpers that every job shares: reading tables, picking columns, stored intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,23 +27,59 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     for n in names:
         exact = [i for i, c in enumerate(have) if c == n]
         at.append((exact or [i for i, c in enumerate(have) if c.lower() == n.lower()])[0])
-    return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+    return plain.selectExpr(*[f"c{i} as `{n}`" for i, n in zip(at, names, strict=True)])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, computed now and cut from its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Files go to the folder that spark.checkpoint.dir names, which all executors share, so a lost
-    executor loses nothing. Only where the setting is absent (tests) a temporary folder is taken.
-    The frame is rebuilt from the stored rows: checkpoint() alone keeps the plan's size estimate,
-    which every join of a loop multiplies, until planning itself takes minutes.
+    Where the setting is absent, a session inside one process (tests) gets a temporary folder of its own;
+    on a cluster that would lose data, so there it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The frame, computed now, written to the shared folder as Parquet and read again.
+
+    This cuts the lineage and outlives any executor. Unlike a checkpoint the table is compressed, later
+    scans read the columns they need, small files share a scan task, and the size that joins are planned
+    by is the real one.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    kept = df.checkpoint(eager=True)._jdf.toDF()
-    return type(df)(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
+    path = f"{folder or shared_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that are deleted together: with Scratch(spark) as keep: t = keep(frame).
+
+    What leaves the block must not depend on them, so the result is written with stored() inside.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4()}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return stored(df, self.folder)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+checkpointed = stored
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
