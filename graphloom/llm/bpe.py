@@ -8,6 +8,7 @@ tokenizer file's own steps: special tokens, NFC, lower case, and its splitting p
 
 Defined results: null text is empty; an empty text has no tokens and decodes to the empty string;
 doc_ids pass through, null or repeated; an empty table gives an empty one; extra columns are dropped.
+Letters and marks younger than the library's tables are treated as the library treats them.
 Each worker keeps up to CACHE words with their tokens; beyond that the memory starts anew.
 """
 
@@ -33,8 +34,46 @@ SHORT, CACHE = 32, 300_000
 NONE = np.iinfo(np.int32).max
 # White space as the tokenizer's pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+# Combining marks younger than the tokenizers library's normaliser, starters to it, and the
+# second half of a composition that it does not know.
+STARTERS = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e"
+    "\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97"
+    "\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+# Capitals younger than Python's tables that the library lower-cases.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7DC: 0x019B} | {c: c + 1 for c in (0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_STARTER = re.compile(f"([{STARTERS}])")
+
+
+# What the regex module calls letters and digits and the library, whose tables are older, does not.
+YOUNGER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf"
+    "\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f"
+    "\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U00016ff4-\U00016ff6"
+    "\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2"
+    "\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+_YOUNGER = re.compile(f"[{YOUNGER}]")
+_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: The same for texts that hold some of these.
+_OLDER_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?![{YOUNGER}])\p{{L}})+|(?![{YOUNGER}])\p{{N}}|(?:[{YOUNGER}]|[^{_SPACE}\p{{L}}\p{{N}}])+")
+
+
+def normalised(text: str) -> str:
+    """NFC and lower case as the tokenizers library has them."""
+    if _STARTER.search(text):
+        text = "".join(unicodedata.normalize("NFC", x) for x in _STARTER.split(text))
+    else:
+        text = unicodedata.normalize("NFC", text)
+    # the library lower-cases letter by letter, without the final sigma
+    text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    return text.translate(LOWER)
 
 
 def byte_letters() -> list[str]:
@@ -139,9 +178,8 @@ class WordBpe:
             elif piece.isascii():
                 out += _ASCII_WORDS.findall(piece.lower())
             else:
-                piece = unicodedata.normalize("NFC", piece)
-                piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
-                out += _WORDS.findall(piece)
+                piece = normalised(piece)
+                out += (_OLDER_WORDS if _YOUNGER.search(piece) else _WORDS).findall(piece)
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -207,4 +245,5 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") ->
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text of documents."""
     return encode_documents(read(spark, sf_dir, "documents"))
