@@ -334,3 +334,27 @@ def test_toxicity_sums_of_many_strings_stay_apart():
     sums = Sums(strings, np.zeros(len(n), int), np.stack((n, n, n), 1))
     assert (sums[strings][:, 0] == n).all() and (sums[strings][:, 3:] == 0).all()
     assert (sums[["", "a", "\U0001f600"]] == 0).all() and (Sums([], np.zeros(0, int), np.zeros((0, 3)))[["a"]] == 0).all()
+
+
+def test_bpe_letters_and_marks_as_the_library_has_them():
+    """Letters that the pattern module knows and the library does not, capitals and marks younger than Python's or the library's tables."""
+    import unicodedata
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer, normalizers
+
+    from graphloom.llm.bpe import LOWER, _YOUNGER, normalised, tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.no_padding(), t.no_truncation()
+    b = tokenizer("word_bpe_49k.json")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    some = [c for c in points if c % 61 == 0 or c in LOWER or (_YOUNGER.match(chr(c)) and c < 0x20000)]
+    texts = [f"a{chr(c)}b 1{chr(c)}\u0301{chr(c)}" for c in some]
+    assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [b.encode(x) for x in texts]
+    marks = [c for c in points if unicodedata.combining(chr(c)) or c in (0x11930, 0x11935, 0x11938)]
+    n = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    for x in marks:
+        for y in marks[x % 17 :: 17]:
+            text = f"a\u0323{chr(x)}{chr(y)}\u0301"
+            assert normalised(text) == n.normalize_str(text)
