@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.frames import checkpointed
+from graphloom.frames import stored
+from graphloom.functions.text import secret_matches
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -20,17 +21,98 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
     return degree.join(nodes.select("id"), "id", "left_semi").orderBy(F.desc("degree"), "id").limit(most)
 
 
-def k_hop(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """id, hop of all nodes reached from the starts in at most depth undirected steps."""
-    both = checkpointed(undirected(edges))
-    front = starts.select("id").distinct().join(nodes.select("id"), "id", "left_semi").withColumn("hop", F.lit(0))
-    seen = checkpointed(front)
-    front = seen
+def reach(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """id, hop of all ids reached, ends of edges that are no nodes among them."""
+    both = stored(undirected(edges))
+    seen = front = stored(starts.select("id").distinct().join(nodes.select("id"), "id", "left_semi").withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
         step = front.select(F.col("id").alias("source")).join(both, "source").select(F.col("target").alias("id")).distinct()
-        front = checkpointed(step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        front = stored(step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(front)
-    return seen.join(nodes.select("id"), "id", "left_semi")
+    return seen
+
+
+def k_hop(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """id, hop of all nodes reached from the starts in at most depth undirected steps."""
+    return reach(starts, nodes, edges, depth).join(nodes.select("id"), "id", "left_semi")
+
+
+def k_hop_edges(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """The edges between ids that k_hop visits, dead ends included, each once."""
+    seen = stored(reach(starts, nodes, edges, depth).select("id"))
+    e = edges.select("source", "target").distinct().join(seen.withColumnRenamed("id", "source"), "source", "left_semi")
+    return e.join(seen.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = 9) -> DataFrame:
+    """pairs(start, goal) -> start, goal, path (empty if none): fewest undirected steps, the smallest path among equals.
+
+    Each round extends the frontier of every start by one edge and keeps one path for each node met.
+    """
+    both = stored(undirected(edges).filter("source <> target"))
+    goals = stored(pairs.select("start", "goal").distinct())
+    seen = front = stored(goals.select("start", F.col("start").alias("at"), F.array("start").alias("path")).distinct())
+    for _ in range(max_edges):
+        step = front.join(both, front["at"] == both["source"]).select("start", F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path"))
+        front = stored(step.join(seen.select("start", "at"), ["start", "at"], "left_anti").groupBy("start", "at").agg(F.min("path").alias("path")))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    found = goals.join(seen.withColumnRenamed("at", "goal"), ["start", "goal"], "left")
+    return found.withColumn("path", F.coalesce("path", F.array().cast(found.schema["path"].dataType)))
+
+
+def subgraph_stats(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 48) -> DataFrame:
+    """seeds(id) -> id, n_nodes, n_edges of its one-hop bundle: the seed and its first neighbours that are nodes, edges among them."""
+    known = nodes.select("id")
+    both = undirected(edges).filter("source <> target").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    own = seeds.select(F.col("id").alias("seed")).distinct().join(known.withColumnRenamed("id", "seed"), "seed", "left_semi")
+    near = own.join(both, own["seed"] == both["source"]).select("seed", F.col("target").alias("id"))
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("id"))).filter(F.col("n") < most).drop("n")
+    bundle = stored(near.unionByName(own.select("seed", F.col("seed").alias("id"))))
+    e = edges.select("source", "target").distinct()
+    inside = bundle.select("seed", F.col("id").alias("source")).join(e, "source").join(bundle.select("seed", F.col("id").alias("target")), ["seed", "target"])
+    count = bundle.groupBy("seed").agg(F.count("*").alias("n_nodes")).join(inside.groupBy("seed").agg(F.count("*").alias("n_edges")), "seed", "left")
+    return count.select(F.col("seed").alias("id"), "n_nodes", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
+
+
+def replace_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """By id: a new row wins whole."""
+    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
+def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """By unordered pair of ends, whatever the relation: a new edge wins; new edges without both ends are left out."""
+    ids = nodes.select("id")
+    good = new.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    pair = lambda e, p: e.withColumn("pair", F.concat_ws("|", F.least("source", "target"), F.greatest("source", "target"))).withColumn("prefer", F.lit(p))
+    every = pair(old, 0).unionByName(pair(good, 1))
+    columns = [c for c in old.columns]
+    return every.groupBy("pair").agg(F.max_by(F.struct(*columns), F.struct("prefer", *columns)).alias("e")).select("e.*")
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without those ids and what hangs on them."""
+    g = gone.select("id").distinct()
+    rest = edges.join(g.withColumnRenamed("id", "source"), "source", "left_anti").join(g.withColumnRenamed("id", "target"), "target", "left_anti")
+    return nodes.join(g, "id", "left_anti"), rest
+
+
+def deep_search(seeds: DataFrame, edges: DataFrame, k: int = 10, wide: int = 10, step: float = 0.1) -> DataFrame:
+    """seeds(query_id, id, rank, distance) -> hop 0 seeds, hop 1 and 2 neighbours a step further each; first reach wins, the k nearest."""
+    both = stored(undirected(edges).filter("source <> target").select(F.col("source").alias("id"), "target"))
+
+    def onward(rows: DataFrame, hop: int) -> DataFrame:
+        return rows.join(both, "id").groupBy("query_id", F.col("target").alias("id")).agg(F.min("distance").alias("distance")).withColumn("distance", F.round(F.col("distance") + step, 9)).withColumn("hop", F.lit(hop))
+
+    zero = stored(seeds.select("query_id", "id", "distance").withColumn("hop", F.lit(0)))
+    one = stored(onward(zero, 1).join(zero.select("query_id", "id"), ["query_id", "id"], "left_anti"))
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    first = one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= wide).drop("n")
+    seen = zero.unionByName(one)
+    two = onward(first, 2).join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    every = seen.unionByName(two).withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "hop", "id")))
+    return every.filter(F.col("position") <= k)
 
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 50) -> DataFrame:
@@ -39,18 +121,20 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8
         raise ValueError("alpha lies between 0 and 1")
     e = edges.filter("weight > 0").groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     out = e.groupBy("source").agg(F.sum("weight").alias("out"))
-    e = checkpointed(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")))
+    e = stored(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")))
+    if not seeds.filter("p < 0").isEmpty():
+        raise ValueError("a seed is negative")
     total = seeds.filter("p > 0").agg(F.sum("p")).first()[0]
     if not total:
         raise ValueError("the seeds sum to nothing")
     ids = e.select(F.col("source").alias("id")).union(e.select("target")).union(seeds.select("id")).distinct()
-    p = checkpointed(ids.join(seeds.groupBy("id").agg((F.sum("p") / total).alias("p")), "id", "left").join(out.select(F.col("source").alias("id"), F.lit(1).alias("flows")), "id", "left").fillna(0, ["p", "flows"]))
+    p = stored(ids.join(seeds.groupBy("id").agg((F.sum("p") / total).alias("p")), "id", "left").join(out.select(F.col("source").alias("id"), F.lit(1).alias("flows")), "id", "left").fillna(0, ["p", "flows"]))
     rank = p.select("id", "p", "flows", F.col("p").alias("rank"))
     for _ in range(rounds):
         lost = rank.filter("flows = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         sent = rank.select(F.col("id").alias("source"), "rank").join(e, "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p")) + (1 - alpha) * F.col("p")
-        step = checkpointed(rank.join(sent, "id", "left").select("id", "p", "flows", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        step = stored(rank.join(sent, "id", "left").select("id", "p", "flows", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
         moved = step.agg(F.sum("change")).first()[0] or 0.0
         rank = step.drop("change")
         if moved < tolerance:
@@ -59,20 +143,40 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8
 
 
 def lint_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes(id, label, source_uri, fetched_at), edges -> category, id of each finding."""
+    """nodes(id, label, source_uri, fetched_at), edges -> category, id of each finding; a repeated address names its ids, cut at 300."""
     both = undirected(edges)
     ids = nodes.select("id")
-    orphan = ids.join(both.select(F.col("source").alias("id")), "id", "left_anti").select(F.lit("orphan").alias("category"), F.col("id").cast("string").alias("id"))
+    named = lambda c: [F.lit(c).alias("category"), F.col("id").cast("string").alias("id")]
+    orphan = ids.join(both.select(F.col("source").alias("id")), "id", "left_anti").select(*named("orphan"))
     key = F.concat_ws("|", F.col("source").cast("string"), F.col("target").cast("string"))
     missing = edges.join(ids.select(F.col("id").alias("source")), "source", "left_anti").unionByName(edges.join(ids.select(F.col("id").alias("target")), "target", "left_anti")).distinct()
     dead = missing.select(F.lit("dead-edge").alias("category"), key.alias("id"))
-    blank = nodes.filter(F.trim(F.coalesce("label", F.lit(""))) == "").select(F.lit("empty-label").alias("category"), F.col("id").cast("string").alias("id"))
-    undated = nodes.filter("fetched_at is null").select(F.lit("missing-fetched-at").alias("category"), F.col("id").cast("string").alias("id"))
-    twice = nodes.filter("source_uri is not null").groupBy("source_uri").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n >= 2").select(F.lit("duplicate-uri").alias("category"), F.col("first").cast("string").alias("id"))
-    return orphan.unionByName(dead).unionByName(blank).unionByName(undated).unionByName(twice)
+    blank = nodes.filter(F.trim(F.coalesce("label", F.lit(""))) == "").select(*named("empty-label"))
+    undated = nodes.filter("fetched_at is null").select(*named("missing-fetched-at"))
+    leaks = nodes.filter(F.size(secret_matches(F.concat_ws("\n", F.col("id").cast("string"), "label", "source_uri"))) > 0).select(*named("stale-secret-match"))
+    # ids are cut at 300 characters, so the list kept for an address is short
+    twice = nodes.filter("source_uri is not null").select("source_uri", F.col("id").cast("string").alias("id"))
+    w = Window.partitionBy("source_uri")
+    first = twice.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("id"))).filter("n >= 2 and k <= 150")
+    repeated = first.groupBy("source_uri").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.lit("duplicate-uri").alias("category"), F.substring(F.array_join("ids", ","), 1, 300).alias("id"))
+    return orphan.unionByName(dead).unionByName(blank).unionByName(undated).unionByName(leaks).unionByName(repeated)
+
+
+def valid_nodes(nodes: DataFrame) -> DataFrame:
+    """Rows whose required fields are there and not blank."""
+    return nodes.filter(" and ".join(f"coalesce(cast({c} as string), '') <> ''" for c in ("id", "label", "file_type", "source_file")))
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Shallow merge by key: a new field wins where it is not null."""
+    """Shallow merge by key: a new field wins where it is not null; a map column is merged entry by entry."""
     o, n = old.alias("o"), new.alias("n")
-    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in old.columns])
+    maps = {f.name for f in old.schema.fields if f.dataType.typeName() == "map"}
+
+    def merged(c: str) -> F.Column:
+        both = F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
+        if c in maps:
+            kept = F.map_filter(F.col(f"o.{c}"), lambda k, _: ~F.coalesce(F.map_contains_key(F.col(f"n.{c}"), k), F.lit(False)))
+            both = F.when(F.col(f"n.{c}").isNotNull() & F.col(f"o.{c}").isNotNull(), F.map_concat(kept, F.col(f"n.{c}"))).otherwise(both)
+        return both.alias(c)
+
+    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*[merged(c) for c in old.columns])

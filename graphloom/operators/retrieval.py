@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.frames import Scratch, stored
 from graphloom.functions.text import search_tokens
+from graphloom.operators.vectors import best, l2, search
+
 
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """docs(doc_id, text), terms(term) -> n, avgdl (of all documents), doc_id, dl, term, tf of the terms asked for.
 
-def postings(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, dl (tokens in the document), term, tf."""
+    Each document is read once; a term's count comes from its own row, so nothing is shuffled for it. The
+    distinct terms are sent to the tasks where Spark finds them small enough, else joined by a shuffle.
+    """
     tokens = docs.select("doc_id", search_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    each = tokens.select("doc_id", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
+    used = each.join(terms, "term", "left_semi")
+    return used.select("doc_id", "dl", "term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """queries(query_id, text), docs(doc_id, text) -> query_id, doc_id, score, rank; OR of the query's terms.
 
-    Postings of terms that no query holds are dropped before anything is shuffled by term.
+    Postings of terms that no query holds are dropped inside the scan; the rest are stored once and read for
+    document frequencies and for scores.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term"))
-    p = postings(docs)
-    size = docs.select(F.size(search_tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
-    used = p.join(q.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
-    stats = df.withColumn("one", F.lit(1)).join(F.broadcast(size), "one")  # one row
-    idf = stats.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    hits = q.join(idf, "term").join(used, "term")
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top(scored, k, F.desc("score"), F.asc("doc_id"))
+    spark = docs.sparkSession
+    with Scratch(spark) as keep:
+        q = keep(queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term")))
+        terms = keep(q.select("term").distinct())
+        used = keep(postings(docs, terms))
+        size = docs.select(F.size(search_tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
+        df = used.groupBy("term").agg(F.count("*").alias("df"))
+        stats = df.withColumn("one", F.lit(1)).join(F.broadcast(size), "one")  # one row
+        idf = stats.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
+        hits = q.join(idf, "term").join(used, "term")
+        weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+        return stored(top(scored, k, F.desc("score"), F.asc("doc_id")))
 
 
 def top(hits: DataFrame, k: int, *order: F.Column) -> DataFrame:
@@ -42,33 +49,8 @@ def top(hits: DataFrame, k: int, *order: F.Column) -> DataFrame:
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """queries(query_id, vector), vectors(vec_id, vector) -> query_id, vec_id, distance, rank by exact L2.
-
-    The query table is dealt out in blocks of rows beside every vector batch; each task keeps its own
-    top k per query, so only k rows per query and task are shuffled.
-    """
-    spark = vectors.sparkSession
-    rows = queries.select("query_id", "vector").toArrow()  # the stated query set
-    ids = rows["query_id"].to_numpy()
-    matrix = np.array(rows["vector"].to_pylist(), np.float64).reshape(len(ids), -1)
-    shared = spark.sparkContext.broadcast((ids, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
-        for b in batches:
-            if not b.num_rows or not len(qid):
-                continue
-            v = np.array(b.column(1).to_pylist(), np.float64)
-            vid = b.column(0).to_numpy()
-            for at in range(0, len(qid), 1024):
-                part = q[at : at + 1024]
-                d2 = np.maximum((part**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * part @ v.T, 0)
-                best = np.argsort(d2, 1, kind="stable")[:, :k]
-                d = np.sqrt(np.take_along_axis(d2, best, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + 1024], best.shape[1])), pa.array(vid[best].ravel()), pa.array(d.ravel())], ["query_id", "vec_id", "distance"])
-
-    found = vectors.select("vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, distance double")
-    return top(found.withColumn("distance", F.round("distance", 6)), k, F.asc("distance"), F.asc("vec_id"))
+    """queries(query_id, vector), vectors(vec_id, vector) -> query_id, vec_id, distance, rank by exact L2, ties by vec_id."""
+    return best(search(queries, vectors, l2, k), k)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = 60) -> DataFrame:
@@ -90,11 +72,17 @@ def recency_rerank(hits: DataFrame, half_life: float = 14.0) -> DataFrame:
     return out.withColumn("position", F.row_number().over(w))
 
 
-def energy_gate(sims: DataFrame, t: float = 0.1, tau: float = -0.016, least_gap: float = 0.01, min_hits: int = 2) -> DataFrame:
-    """sims(query_id, sim) -> n, free_energy (-t logsumexp(sim/t)), separation of the best two, admit."""
-    g = sims.groupBy("query_id").agg(F.count("*").alias("n"), F.max("sim").alias("m"), F.slice(F.reverse(F.array_sort(F.collect_list("sim"))), 1, 2).alias("best"), F.collect_list("sim").alias("all"))
-    total = F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("m")) / t))
-    g = g.withColumn("free_energy", F.round(-(F.col("m") + t * F.log(total)), 6))
-    g = g.withColumn("separation", F.round(F.when(F.col("n") >= 2, F.col("best")[0] - F.col("best")[1]).otherwise(0.0), 6))
+def energy_gate(queries: DataFrame, sims: DataFrame, t: float = 0.1, tau: float = -0.016, least_gap: float = 0.01, min_hits: int = 2, beta: float = 12.0) -> DataFrame:
+    """queries(query_id), sims(query_id, sim) -> n, free_energy (-t logsumexp(sim/t)), separation of the best two, floor, admit.
+
+    A query without sims has infinite energy and is not admitted. Sums are combined before the shuffle; the
+    exponent is taken against 1, the largest cosine, so no list of sims is held.
+    """
+    g = sims.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.exp((F.col("sim") - 1) / t)).alias("total"), F.max("sim").alias("first"))
+    second = sims.join(g.select("query_id", "first"), "query_id").groupBy("query_id").agg(F.max(F.when(F.col("sim") < F.col("first"), F.col("sim"))).alias("below"), F.count_if(F.col("sim") == F.col("first")).alias("tops"))
+    x = queries.select("query_id").distinct().join(g, "query_id", "left").join(second, "query_id", "left").fillna(0, ["n"])
+    x = x.withColumn("free_energy", F.when(F.col("n") == 0, float("inf")).otherwise(F.round(-(1 + t * F.log("total")), 6)))
+    x = x.withColumn("separation", F.when((F.col("n") < 2) | (F.col("tops") > 1), 0.0).otherwise(F.round(F.col("first") - F.col("below"), 6)))
+    floor = F.when(F.col("n") >= 2, F.round(F.log(2 * (F.col("n") - 1) * F.col("n") * beta) / beta, 6))
     admit = (F.col("n") >= min_hits) & (-F.col("free_energy") >= tau) & (F.col("n") >= 2) & (F.col("separation") >= least_gap)
-    return g.select("query_id", "n", "free_energy", "separation", admit.alias("admit"))
+    return x.select("query_id", "n", "free_energy", "separation", floor.alias("floor"), admit.alias("admit"))

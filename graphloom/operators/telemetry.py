@@ -14,14 +14,37 @@ def peer_scores(reviews: DataFrame, half_life: float = 45.0) -> DataFrame:
     """reviews(subject, peer, score, weight, created_at) -> decayed sums, posterior and confidence.
 
     Closed form of the step rule: each review counts with 0.5 ** (days to the group's last review / half-life).
+    Weights are taken against a fixed day first and scaled by the group's last review after summing, so all
+    is one aggregation that is combined before the shuffle.
     """
-    last = F.max("created_at").over(Window.partitionBy("subject", "peer"))
-    days = (micros(last) - micros(F.col("created_at"))) / 86.4e9
+    days = lambda c: micros(c) / 86.4e9 - 19_000  # noqa: E731  days from early 2022
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
-    x = reviews.withColumn("d", F.pow(F.lit(0.5), days / half_life)).withColumn("w", clamp("weight")).withColumn("s", clamp("score"))
-    g = x.groupBy("subject", "peer").agg(F.count("*").alias("n_reviews"), F.sum(F.col("w") * F.col("d")).alias("sw"), F.sum(F.col("w") * F.col("s") * F.col("d")).alias("sws"), F.min("created_at").alias("first_review"), F.max("created_at").alias("last_review"))
-    post, conf = (1.5 + F.col("sws")) / (3 + F.col("sw")), F.col("sw") / (F.col("sw") + 3)
-    return g.select("subject", "peer", "n_reviews", F.round("sw", 6).alias("weight_sum"), F.round(post, 6).alias("posterior"), F.round(conf, 6).alias("confidence"), F.round(post * conf, 6).alias("stored_rank"), "first_review", "last_review")
+    x = reviews.withColumn("d", F.pow(F.lit(2.0), days(F.col("created_at")) / half_life)).withColumn("w", clamp("weight")).withColumn("s", clamp("score"))
+    sums = [F.sum(v * F.col("d")).alias(n) for n, v in (("sw", F.col("w")), ("sws", F.col("w") * F.col("s")), ("swss", F.col("w") * F.col("s") * F.col("s")))]
+    g = x.groupBy("subject", "peer").agg(F.count("*").alias("n_reviews"), *sums, F.min("created_at").alias("first_review"), F.max("created_at").alias("last_review"))
+    scale = F.pow(F.lit(2.0), -days(F.col("last_review")) / half_life)
+    for n in ("sw", "sws", "swss"):
+        g = g.withColumn(n, F.col(n) * scale)
+    post = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1.5 + F.col("sws")) / (3 + F.col("sw"))))
+    conf = F.col("sw") / (F.col("sw") + 3)
+    return g.select("subject", "peer", "n_reviews", F.round("sw", 6).alias("weight_sum"), F.round("swss", 6).alias("square_sum"), F.round(post, 6).alias("posterior"), F.round(conf, 6).alias("confidence"), F.round(post * conf, 6).alias("stored_rank"), "first_review", "last_review")
+
+
+def rank_peers(scores: DataFrame, now: Column, load: Column, half_life: float = 45.0) -> DataFrame:
+    """scores(subject, peer, posterior, confidence, last_review) -> rank value and place of each peer of a subject."""
+    age = F.greatest(F.lit(0.0), (micros(now) - micros(F.col("last_review"))) / 86.4e9)
+    value = F.round(F.col("posterior") * F.col("confidence") * F.pow(F.lit(0.5), age / half_life) / (1 + load / 3), 6)
+    x = scores.select("subject", "peer", value.alias("value"))
+    return x.withColumn("place", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc_nulls_last("value"), "peer")))
+
+
+def reviewer_evidence(reviews: DataFrame) -> DataFrame:
+    """reviews(subject, peer, reviewer, score, weight, created_at) -> sums without decay of each reviewer."""
+    return reviews.groupBy("subject", "peer", "reviewer").agg(F.round(F.sum("weight"), 6).alias("weight_sum"), F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score_sum"), F.max("created_at").alias("last_review"))
+
+
+def expected_utility(sim: Column, mean: Column, entropy: Column, risk: Column) -> Column:
+    return sim * mean - risk * (1 - mean) * 0.5 + 0.1 * entropy
 
 
 def beta_counters(events: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
 SCORES = """
 r AS (SELECT event_type AS subject, user_id AS peer, least(1, greatest(0, value / 100)) AS s, CASE WHEN event_id % 3 = 0 THEN 0.4 ELSE 1.0 END AS w, ts, max(ts) OVER (PARTITION BY event_type, user_id) AS last FROM events),
 x AS (SELECT *, pow(0.5, (epoch_us(last) - epoch_us(ts)) / 86.4e9 / 45) AS d FROM r),
-g AS (SELECT subject, peer, count(*) AS n_reviews, sum(w * d) AS sw, sum(w * s * d) AS sws, min(ts) AS first_review, max(ts) AS last_review FROM x GROUP BY 1, 2),
-scores AS (SELECT subject, peer, n_reviews, round(sw, 6) AS weight_sum, round((1.5 + sws) / (3 + sw), 6) AS posterior, round(sw / (sw + 3), 6) AS confidence, round((1.5 + sws) / (3 + sw) * (sw / (sw + 3)), 6) AS stored_rank, first_review, last_review FROM g)
+g AS (SELECT subject, peer, count(*) AS n_reviews, sum(w * d) AS sw, sum(w * s * d) AS sws, sum(w * s * s * d) AS swss, min(ts) AS first_review, max(ts) AS last_review FROM x GROUP BY 1, 2),
+scores AS (SELECT subject, peer, n_reviews, round(sw, 6) AS weight_sum, round(swss, 6) AS square_sum, round((1.5 + sws) / (3 + sw), 6) AS posterior, round(sw / (sw + 3), 6) AS confidence, round((1.5 + sws) / (3 + sw) * (sw / (sw + 3)), 6) AS stored_rank, first_review, last_review FROM g)
 """
 
 
@@ -64,9 +64,9 @@ def slopes(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.slope(series(spark, d))
 
 
-@query("did_observations", "SELECT user_id AS did, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, ts) AS latest, count(*) AS n FROM events GROUP BY 1")
+@query("did_observations", "SELECT user_id AS did, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_id)) AS latest, count(*) AS n FROM events GROUP BY 1")
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").groupBy(F.col("user_id").alias("did")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("event_type", "ts").alias("latest"), F.count("*").alias("n"))
+    return read(spark, d, "events").groupBy(F.col("user_id").alias("did")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.count("*").alias("n"))
 
 
 @query("event_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")

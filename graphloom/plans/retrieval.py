@@ -35,20 +35,46 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_topk(bench(spark, d), read(spark, d, "documents"))
 
 
-@query("retrieval_metrics", f"""
-WITH {BM25},
-rel AS (SELECT DISTINCT h.query_id, h.doc_id FROM hits h JOIN labels l USING (doc_id) WHERE l.quality = 1),
+#: A document that holds half of a passage's different five-word runs, and one at least, is relevant to it; the ranking plays no part.
+SHINGLES = lambda s: f"list_distinct(list_transform(range(1, greatest(len({s}) - 3, 1)), lambda i: array_to_string({s}[i:i+4], ' ')))"
+QRELS = f"""
+bw AS (SELECT item_id, unnest({SHINGLES("string_split(text, ' ')")}) AS s FROM benchmark), bn AS (SELECT item_id, count(*) AS m FROM bw GROUP BY 1),
+dw AS (SELECT doc_id, unnest({SHINGLES("string_split(text, ' ')")}) AS s FROM documents),
+rel AS (SELECT item_id AS query_id, doc_id FROM bw JOIN dw USING (s) JOIN bn USING (item_id) GROUP BY item_id, doc_id, m HAVING 2 * count(*) >= m)
+"""
+
+
+def runs(text: F.Column) -> F.Column:
+    w = F.split(text, " ", -1)
+    return F.array_distinct(F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))).otherwise(F.array().cast("array<string>")))
+
+
+def qrels(spark: SparkSession, d: str) -> DataFrame:
+    b = bench(spark, d).select("query_id", F.explode(runs(F.col("text"))).alias("s"))
+    m = b.groupBy("query_id").agg(F.count("*").alias("m"))
+    docs = read(spark, d, "documents").select("doc_id", F.explode(runs(F.col("text"))).alias("s"))
+    return docs.join(b, "s").groupBy("query_id", "doc_id").agg(F.count("*").alias("n")).join(m, "query_id").filter("2 * n >= m").select("query_id", "doc_id")
+
+
+METRICS = """
 tot AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY 1),
 hh AS (SELECT h.*, count(*) OVER (PARTITION BY query_id ORDER BY rank) AS found FROM hits h JOIN rel USING (query_id, doc_id)),
-per AS (SELECT query_id, count(*) AS n_hit, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first, sum(found / CAST(rank AS DOUBLE)) AS ap FROM hh GROUP BY 1)
-SELECT b.item_id AS query_id, round(CASE WHEN n_rel > 0 THEN n_hit / CAST(n_rel AS DOUBLE) ELSE 0 END, 6) AS recall, CASE WHEN n_hit > 0 THEN 1 ELSE 0 END AS recall_any,
-  round(CASE WHEN n_rel > 0 THEN dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) r(i) WHERE i <= n_rel) ELSE 0 END, 6) AS ndcg,
-  round(coalesce(1.0 / first, 0), 6) AS mrr, round(CASE WHEN n_rel > 0 THEN ap / least(10, n_rel) ELSE 0 END, 6) AS average_precision
-FROM benchmark b LEFT JOIN tot ON tot.query_id = b.item_id LEFT JOIN per ON per.query_id = b.item_id""")
+per AS (SELECT query_id, count(*) AS n_hit, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first, sum(found / CAST(rank AS DOUBLE)) AS ap FROM hh GROUP BY 1),
+metrics AS (SELECT b.item_id AS query_id, round(CASE WHEN n_rel > 0 THEN coalesce(n_hit, 0) / CAST(n_rel AS DOUBLE) ELSE 0 END, 6) AS recall, CASE WHEN n_hit > 0 THEN 1 ELSE 0 END AS recall_any,
+  round(CASE WHEN n_rel > 0 THEN coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) r(i) WHERE i <= n_rel) ELSE 0 END, 6) AS ndcg,
+  round(coalesce(1.0 / first, 0), 6) AS mrr, round(CASE WHEN n_rel > 0 THEN coalesce(ap, 0) / least(10, n_rel) ELSE 0 END, 6) AS average_precision
+FROM benchmark b LEFT JOIN tot ON tot.query_id = b.item_id LEFT JOIN per ON per.query_id = b.item_id)
+"""
+
+
+@query("retrieval_metrics", f"WITH {BM25}, {QRELS}, {METRICS} SELECT * FROM metrics")
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    hits = bm25(spark, d)
-    good = read(spark, d, "labels").filter("quality = 1").select("doc_id")
-    return evaluation.retrieval_metrics(bench(spark, d), hits, hits.join(good, "doc_id", "left_semi"))
+    return evaluation.retrieval_metrics(bench(spark, d), bm25(spark, d), qrels(spark, d))
+
+
+@query("eval_report", f"WITH {BM25}, {QRELS}, {METRICS} SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall, round(avg(recall_any), 6) AS recall_any, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(average_precision), 6) AS average_precision FROM metrics")
+def report(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.metrics_report(metrics(spark, d))
 
 
 @query("fts_query", f"SELECT item_id, CASE WHEN len(toks) > 0 THEN array_to_string(toks, ' OR ') END AS match FROM (SELECT item_id, {TOKENS} AS toks FROM benchmark)")
@@ -61,7 +87,8 @@ WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(
 n AS (SELECT a.doc_id, a.k AS x, b.k AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / CAST(len(x) + len(y) - len(list_intersect(x, y)) AS DOUBLE) END, 6) AS jaccard FROM n""")
 def jaccard(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "documents").select("doc_id", T.jaccard_tokens(F.col("text")).alias("k"))
+    hashed = F.transform(T.jaccard_tokens(F.col("text")), lambda t: F.xxhash64(t))  # 8 bytes a token are shuffled, not the words
+    t = read(spark, d, "documents").select("doc_id", hashed.alias("k"))
     n = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("k").alias("other"))
     return t.join(n, "doc_id").select("doc_id", F.round(T.token_jaccard(F.col("k"), F.col("other")), 6).alias("jaccard"))
 
@@ -72,13 +99,6 @@ def html(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query("query_terms", f"""
-SELECT item_id, array_to_string(list_slice(list_filter(k, lambda x, i: list_position(k, x) = i), 1, 8), ' ') AS terms
-FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9.+#-]+'), lambda t: length(t) >= 3 AND t NOT IN ({STOP})) AS k FROM benchmark)""")
-def terms(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "benchmark").select("item_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
-
-
 @query("content_sha256", r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents")
 def digest(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.content_sha256(F.col("text")).alias("digest"))
@@ -121,13 +141,16 @@ def recency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("energy_gate", f"""
-WITH {DENSE}, s AS (SELECT query_id, 1 - distance * distance / 2 AS sim FROM dense WHERE query_id <> vec_id),
+WITH {DENSE}, s AS (SELECT query_id, 1 - distance * distance / 2 AS sim FROM dense WHERE query_id <> vec_id AND query_id % 40 = 0),
 g AS (SELECT query_id, count(*) AS n, max(sim) AS m, list_sort(list(sim), 'DESC') AS best FROM s GROUP BY 1),
 e AS (SELECT query_id, n, round(-(m + 0.1 * ln(list_sum(list_transform(best, lambda x: exp((x - m) / 0.1))))), 6) AS free_energy, round(CASE WHEN n >= 2 THEN best[1] - best[2] ELSE 0 END, 6) AS separation FROM g)
-SELECT query_id, n, free_energy, separation, n >= 2 AND -free_energy >= -0.016 AND separation >= 0.01 AS admit FROM e""")
+SELECT q.vec_id AS query_id, coalesce(n, 0) AS n, coalesce(free_energy, CAST('Infinity' AS DOUBLE)) AS free_energy, coalesce(separation, 0) AS separation, CASE WHEN n >= 2 THEN round(ln(2 * (n - 1) * n * 12) / 12, 6) END AS floor,
+  coalesce(n >= 2 AND -free_energy >= -0.016 AND separation >= 0.01, false) AS admit FROM embeddings q LEFT JOIN e ON e.query_id = q.vec_id WHERE q.vec_id % 20 = 0""")
 def energy(spark: SparkSession, d: str) -> DataFrame:
-    s = dense(spark, d).filter("query_id <> vec_id").select("query_id", (1 - F.col("distance") * F.col("distance") / 2).alias("sim"))
-    return retrieval.energy_gate(s)
+    """Half of the queries have no hit here."""
+    hits = dense(spark, d)
+    s = hits.filter("query_id <> vec_id and query_id % 40 = 0").select("query_id", (1 - F.col("distance") * F.col("distance") / 2).alias("sim"))
+    return retrieval.energy_gate(read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")), s)
 
 
 SCORED = "s AS (SELECT d.n_chars AS score, l.toxic AS label FROM documents d JOIN labels l USING (doc_id))"
@@ -149,7 +172,7 @@ def auc(spark: SparkSession, d: str) -> DataFrame:
 WITH {SCORED}, e AS (SELECT CAST(min(score) AS DOUBLE) AS lo, CAST(max(score) AS DOUBLE) AS hi, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM s),
 g AS (SELECT CAST(i AS INTEGER) AS i, lo + (hi - lo) / 40 * i AS th, p, n FROM e, range(0, 41) r(i)),
 c AS (SELECT g.i, g.th, p, n, count(*) FILTER (label = 1 AND score >= th) AS t, count(*) FILTER (label = 0 AND score >= th) AS f FROM g, s GROUP BY ALL)
-SELECT i, round(th, 6) AS threshold, round(t / CAST(p AS DOUBLE), 6) AS tpr, round(f / CAST(n AS DOUBLE), 6) AS fpr, round(t / CAST(p AS DOUBLE) - f / CAST(n AS DOUBLE), 6) AS youden FROM c""")
+SELECT i, round(th, 6) AS threshold, round(t / CAST(p AS DOUBLE), 6) AS tpr, round(f / CAST(n AS DOUBLE), 6) AS fpr, round(t / CAST(p AS DOUBLE) - f / CAST(n AS DOUBLE), 6) AS youden, i = first_value(i) OVER (ORDER BY round(t / CAST(p AS DOUBLE) - f / CAST(n AS DOUBLE), 6) DESC, i) AS best FROM c""")
 def youden(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.youden_sweep(scored(spark, d))
 
@@ -168,7 +191,7 @@ l AS (SELECT satisfied, 'length' AS part, length AS value FROM s UNION ALL SELEC
 g AS (SELECT part, avg(value) FILTER (satisfied = 1) AS m1, avg(value) FILTER (satisfied = 0) AS m0, var_pop(value) FILTER (satisfied = 1) AS v1, var_pop(value) FILTER (satisfied = 0) AS v0 FROM l WHERE value IS NOT NULL GROUP BY 1),
 r AS (SELECT part, coalesce(pow(m1 - m0, 2) / (v1 + v0 + 1e-6), 0) AS ratio FROM g),
 w AS (SELECT part, ratio, ratio / sum(ratio) OVER () + 0.02 AS raw FROM r)
-SELECT part, round(ratio, 6) AS ratio, round(raw / sum(raw) OVER (), 6) AS weight FROM w""")
+SELECT part, round(ratio, 6) AS ratio, round(raw / sum(raw) OVER (), 6) AS weight, CAST(NULL AS VARCHAR) AS reason FROM w""")
 def weights(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
     spaces = (F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))) / F.col("n_chars")
