@@ -2,7 +2,8 @@
 
 Equal vectors are merged first, so copies never meet each other. Each distinct vector is rotated
 by three rounds of random signs and a fast Hadamard transform; the hash of a rotation is its
-largest coordinate with its sign. A table's bucket joins `width` such hashes, with `probes` buckets
+largest coordinate with its sign; vectors of fewer than LEAST dimensions are padded with zeros first, so
+that there are enough different rotations and the collision rates below hold for them too. A table's bucket joins `width` such hashes, with `probes` buckets
 taken in order of how far their coordinates fall short of the largest. The width follows the
 number of distinct vectors so that unlike vectors seldom share a bucket. Buckets are counted by
 key alone; only vectors in buckets of two or more are sent on. A large bucket is cut into blocks
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.components import components
-from graphloom.frames import checkpointed, pick, read, shuffle_partitions
+from graphloom.frames import Scratch, pick, read, shuffle_partitions, stored
 from graphloom.llm.runs import blocks
 
-BLOCK = 512
+BLOCK, LEAST = 512, 64
 #: Tables by width. One table of 4 probes catches a pair at cosine 0.95 in 64 dimensions with probability
 #: .988, .908, .734, .544 at widths 1 to 4 (measured); so many tables miss fewer than one in 10 million.
 TABLES = (5, 8, 14, 24, 40, 64)
@@ -41,7 +42,7 @@ class CrossPolytope:
     """Buckets of unit vectors of one length."""
 
     def __init__(self, dim: int, width: int, tables: int, probes: int, seed: int = 7):
-        self.size = 1 << max(1, (dim - 1).bit_length())
+        self.size = max(LEAST, 1 << (dim - 1).bit_length())
         self.width, self.tables = width, tables
         rng = np.random.default_rng([seed, dim, width, tables])
         self.signs = rng.integers(0, 2, (tables * width, 3, self.size)) * 2.0 - 1
@@ -72,12 +73,10 @@ class CrossPolytope:
             for w in range(self.width):
                 y = self._rotate(x, self.signs[t * self.width + w])
                 a = np.abs(y)
-                top = np.argpartition(-a, 3, axis=1)[:, :3] if self.size > 3 else np.argsort(-a, axis=1)[:, :3]
+                top = np.argpartition(-a, 3, axis=1)[:, :3]
                 v = np.take_along_axis(a, top, 1)
                 o = np.argsort(-v, axis=1)
                 top, v = np.take_along_axis(top, o, 1), np.take_along_axis(v, o, 1)
-                if top.shape[1] < 3:
-                    top, v = np.pad(top, ((0, 0), (0, 3 - top.shape[1])), "edge"), np.pad(v, ((0, 0), (0, 3 - v.shape[1])), "edge")
                 codes.append(2 * top + (np.take_along_axis(y, top, 1) < 0))
                 short.append((v[:, :1] - v) ** 2)
             cost = sum(short[w][:, self.choices[:, w]] for w in range(self.width))
@@ -109,7 +108,7 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray,
 
 def plan_width(n: int, dim: int, probes: int) -> int:
     """Hashes per table so that a bucket holds about one unlike vector at most."""
-    return max(1, math.ceil(math.log(max(2, n * probes)) / math.log(2 << max(1, (dim - 1).bit_length()))))
+    return max(1, math.ceil(math.log(max(2, n * probes)) / math.log(2 * max(LEAST, 1 << (dim - 1).bit_length()))))
 
 
 def first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,12 +130,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int | N
 
     tables: how many hash tables; by default TABLES for the width that the number of vectors asks for.
     """
+    with Scratch(vectors.sparkSession) as keep:
+        return stored(_near_duplicates(vectors, threshold, tables, probes, keep))
+
+
+def _near_duplicates(vectors: DataFrame, threshold: float, tables: int | None, probes: int, keep: Scratch) -> DataFrame:
     spark = vectors.sparkSession
     v = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     good = F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    v = checkpointed(v.select("vec_id", F.when(good, F.col("embedding")).alias("embedding"), F.when(good, F.xxhash64("embedding")).alias("node")))
-    distinct = checkpointed(v.filter("node is not null").groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies")))
+    v = keep(v.select("vec_id", F.when(good, F.col("embedding")).alias("embedding"), F.when(good, F.xxhash64("embedding")).alias("node")))
+    distinct = keep(v.filter("node is not null").groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies")))
     seen = distinct.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if not seen["n"]:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
@@ -155,7 +159,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int | N
 
     n = shuffle_partitions(spark)
     keys = distinct.select("node", "embedding").mapInArrow(keyed, "node long, bucket long").distinct()
-    members = checkpointed(keys)
+    members = keep(keys)
     busy = members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -181,13 +185,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int | N
                     rows = s + np.flatnonzero(place[s:e, 0] == dim)
                     if len(rows) < 2:
                         continue
-                    x = by_dim[dim][1][place[rows, 1]]
-                    hit = x @ x.T >= threshold - 1e-9
-                    one, two = np.nonzero(np.triu(hit, 1))
-                    if low[s] != high[s]:
-                        cross = own[rows[one]] != own[rows[two]]
-                        one, two = one[cross], two[cross]
-                    a_all.append(rows[one]), b_all.append(rows[two]), dims.append(np.full(len(one), dim))
+                    if low[s] == high[s]:
+                        x = by_dim[dim][1][place[rows, 1]]
+                        one, two = np.nonzero(np.triu(x @ x.T >= threshold - 1e-9, 1))
+                        one, two = rows[one], rows[two]
+                    else:
+                        left, right = rows[own[rows] == low[s]], rows[own[rows] == high[s]]
+                        one, two = np.nonzero(by_dim[dim][1][place[left, 1]] @ by_dim[dim][1][place[right, 1]].T >= threshold - 1e-9)
+                        one, two = left[one], right[two]
+                    a_all.append(one), b_all.append(two), dims.append(np.full(len(one), dim))
             if not a_all or not sum(map(len, a_all)):
                 continue
             a, b, dims = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(dims)
@@ -221,12 +227,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int | N
             rows = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(links[rows].astype(np.int64)), pa.array(ids[top[rows]])], ["node", "links", "near"])
 
-    found = checkpointed(work.select("bucket", "low", "high", "own", "node", "copies", "vector").mapInArrow(verified, "node long, links long, near long"))
+    found = keep(work.select("bucket", "low", "high", "own", "node", "copies", "vector").mapInArrow(verified, "node long, links long, near long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
     nodes = v.groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).filter("node is not null")
     nodes = nodes.join(links, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = checkpointed(nodes)
+    nodes = keep(nodes)
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     per = nodes.join(ids, "component").select(F.col("node").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
     out = v.join(per, v["node"] == per["of"], "left")
@@ -235,6 +241,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int | N
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of embeddings at cosine 0.95: vec_id, n_links, component_id, kept."""
     return near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
