@@ -1,10 +1,10 @@
 """Secret scans with a random forest for false positives (operator 8).
 
 Candidates are the values assigned to a name such as token, secret, password or key, from SHORTEST
-characters on over any non-space characters, and elsewhere runs of 16 or more letters, digits and +/=_-,
+characters on over any non-space characters, private key blocks and signed web tokens, and elsewhere runs of 16 or more letters, digits and +/=_-,
 in whole texts. A forest judges each by its
 length, its character classes and transitions, its entropy, how much of it dictionary words cover,
-its path (the source) and its neighbouring words. It is trained on labelled findings, at most about
+its path (the source) and its neighbouring words, these hashed to HASHED places each. It is trained on labelled findings, at most about
 FINDINGS of them: equal ones are taken once with their number as weight, and a hash chooses in each
 label on its own, the rare one being taken whole where it has no more than half of FINDINGS. The query labels findings by how they stand: a hexadecimal
 value or one with digits that is assigned to such a name is a finding that was confirmed, a candidate
@@ -19,6 +19,7 @@ every candidate is one with score 1; an empty table gives an empty one; extra co
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
@@ -32,7 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.frames import checkpointed, pick, read
+from graphloom.frames import pick, read, stored
 
 FINDINGS, DICTIONARY, HASHED, SHORTEST = 20_000, 500, 16, 6
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{15,}")
@@ -41,6 +42,8 @@ _NAMED = re.compile(
     r"(?:token|secret(?:[_-]?key)?|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)[\"']?\s*(?::=|=>|=|:)\s*"
     rf"(?:\"(?P<double>[^\s\"]{{{SHORTEST},}})\"|'(?P<single>[^\s']{{{SHORTEST},}})'|(?P<bare>\S{{{SHORTEST - 1},}}[^\s.,;:\"']))", re.IGNORECASE,
 )
+#: Formats that are secrets of their own: private key blocks, signed web tokens.
+_VENDOR = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----.{16,8192}?-----END [A-Z ]{0,32}PRIVATE KEY-----|(?<![\w.-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", re.DOTALL)
 _NEAR = re.compile(r"[^\W_]+")
 _LOWER = re.compile(r"[a-z]{3,}")
 
@@ -99,6 +102,11 @@ def spans(text: str) -> list[tuple[int, int, bool]]:
         start, end = m.span(m.lastgroup)
         out.append((start, end, True))
         names.append((m.start(), end))
+    for m in _VENDOR.finditer(text):
+        k = bisect.bisect(names, m.span())
+        if (k == 0 or names[k - 1][1] <= m.start()) and (k == len(names) or names[k][0] >= m.end()):
+            out.append((*m.span(), True))
+            names.insert(k, m.span())
     at = 0
     for m in _RUN.finditer(text):
         start, end = m.span()
@@ -133,7 +141,9 @@ def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
                             near[_slot(w)] = 1
                         for w in right:
                             near[HASHED + _slot(w)] = 1
-                        f = [*_shape(s), _covered(s, known), float(zlib.crc32((source or "").encode()) % 64), *near]
+                        path = np.zeros(HASHED)
+                        path[_slot(source or "")] = 1
+                        f = [*_shape(s), _covered(s, known), *path, *near]
                         rows.append({"doc_id": doc_id, "th": th, "start": start, "length": len(s), "secret": s, "features": f, "named": (True if f[7] > 0 or f[3] > 0.1 else None) if named else False})
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
@@ -146,14 +156,14 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.in
 def judge(found: DataFrame, labelled: DataFrame) -> DataFrame:
     """found(features, ...) and labelled(features, label 0/1) -> found with score and is_secret."""
     kinds = labelled.filter("label is not null").groupBy("features", "label").agg(F.count("*").cast("double").alias("weight"))
-    kinds = checkpointed(kinds)
+    kinds = stored(kinds)
     counts = {r["label"]: r["n"] for r in kinds.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     no, yes = counts.get(0, 0), counts.get(1, 0)
     part = {0: max(FINDINGS // 2, FINDINGS - yes) / max(no, 1), 1: max(FINDINGS // 2, FINDINGS - no) / max(yes, 1)}
     key = F.pmod(F.xxhash64("features"), F.lit(1 << 30)) / (1 << 30)
     # what is left out of a label counts in the weight of what is taken, so the odds stay those of all findings
     share = F.when(F.col("label") == 1, min(1.0, part[1])).otherwise(min(1.0, part[0]))
-    train = checkpointed(kinds.filter(key < share).withColumn("weight", F.col("weight") / share))
+    train = stored(kinds.filter(key < share).withColumn("weight", F.col("weight") / share))
     taken = {r["label"] for r in train.select("label").distinct().collect()}  # two rows
     if taken != {0, 1}:
         only = float(taken == {1})
@@ -168,7 +178,7 @@ def judge(found: DataFrame, labelled: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, source) -> each candidate with its text hash, place, score and verdict."""
     d = pick(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", F.xxhash64("text").alias("th"))
-    found = checkpointed(candidates(d, dictionary(d)))
+    found = stored(candidates(d, dictionary(d)))
     return judge(found, found.select("features", F.col("named").cast("int").alias("label")))
 
 
