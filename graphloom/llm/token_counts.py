@@ -13,8 +13,6 @@ empty table gives an empty one; extra columns are dropped.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.frames import pick, read
+from graphloom.frames import Scratch, pick, read, stored
 
 END, BLOCK = 50256, 1 << 16
 
@@ -53,13 +51,19 @@ def token_stream(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", blo
         buffer, size = [], 0
         ends: list[tuple[int, int | None]] = []  # position in the buffer, doc_id
 
-        def cut(n: int) -> pa.RecordBatch:
+        def cut(least: int) -> Iterator[pa.RecordBatch]:
+            """Blocks of the buffer while it holds so many tokens; the rest stays."""
             nonlocal buffer, size, ends, number
-            flat = np.concatenate(buffer)
-            out = pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int64()), pa.array([flat[:n].tobytes()], pa.binary()), pa.array([[d for p, d in ends if p < n]], pa.list_(pa.int64()))], ["file", "block", "tokens", "closes"])
-            buffer, size, number = [flat[n:]], size - n, number + 1
-            ends = [(p - n, d) for p, d in ends if p >= n]
-            return out
+            flat, at, done = np.concatenate(buffer), 0, 0
+            while size - at >= least and at < size:
+                to, k = min(at + block, size), done
+                while done < len(ends) and ends[done][0] < to:
+                    done += 1
+                closed = [d for _, d in ends[k:done]]
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int64()), pa.array([flat[at:to].tobytes()], pa.binary()), pa.array([closed], pa.list_(pa.int64()))], ["file", "block", "tokens", "closes"])
+                at, number = to, number + 1
+            buffer, size = [flat[at:].copy()], size - at
+            ends = [(p - at, d) for p, d in ends[done:]]
 
         for b in batches:
             for at in range(0, b.num_rows, 64):
@@ -70,10 +74,10 @@ def token_stream(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", blo
                     buffer.append(ids)
                     size += len(ids)
                     ends.append((size - 1, doc_id))
-                while size >= block:
-                    yield cut(block)
+                if size >= block:
+                    yield from cut(block)
         if size:
-            yield cut(size)
+            yield from cut(1)
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file int, block long, tokens binary, closes array<long>")
 
@@ -102,7 +106,6 @@ def scan_separators(stream: DataFrame, end: int = END) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted from flat token files that are written first."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokens-")
-    path = f"{folder}/tokens-{uuid.uuid4()}"
-    token_stream(read(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
-    return scan_separators(spark.read.parquet(path)).select("doc_id", "n_tokens", "closed")
+    with Scratch(spark) as keep:
+        stream = keep(token_stream(read(spark, sf_dir, "documents")))
+        return stored(scan_separators(stream).select("doc_id", "n_tokens", "closed"))
