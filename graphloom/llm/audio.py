@@ -236,4 +236,5 @@ _SCHEMA = pa.schema([
 
 
 def op1_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents stored as MPEG audio, and what is read back from it."""
     return audio_features(store_audio(read(spark, sf_dir, "documents")))

@@ -42,7 +42,7 @@ def codewords(n: int) -> np.ndarray:
     rng, best = np.random.default_rng(3), (-1, None)
     for _ in range(200):
         c = rng.integers(0, 2, (n, bits)) * 2 - 1
-        c = c[:, np.abs(c.sum(1 - 1)) < n]  # a bit that all languages share says nothing
+        c = c[:, np.abs(c.sum(0)) < n]  # a bit that all languages share says nothing
         d = (c.shape[1] - c @ c.T)[~np.eye(n, dtype=bool)].min()
         best = max(best, (int(d), c), key=lambda x: x[0])
     return best[1].astype(float)
@@ -134,6 +134,7 @@ def held_out() -> F.Column:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of every whole text of documents."""
     docs = pick(read(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
     model = LanguageModel(docs.filter(~held_out() & F.col("lang").isNotNull()))
     return model.predict(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")

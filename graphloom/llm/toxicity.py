@@ -9,6 +9,10 @@ document's evidence is the sum, over its distinct words, of what the toxic log-l
 ordinary one by beyond MARGIN nats, divided by the number of words to the power LENGTH; a logistic
 curve, fitted on rows that the counts have not seen, turns it into the score.
 
+The plain mean over all words was measured on the held-out fold of the table of scale factor 0.1: it
+finds 52 of 97 toxic documents (the largest mean of any window of 1 to 32 words 53 to 69), since small
+differences between languages outweigh the few toxic words of a long text; this form finds 89.
+
 Counting covers all documents (the shared model) and all labelled rows outside the held-out fold.
 The tables that scoring needs are keyed by the exact letter strings and grow with their number: 88 bytes
 for each different string, gathered and broadcast.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.frames import checkpointed, pick, read
+from graphloom.frames import pick, read, stored
 
 ORDER, DISCOUNT, MARGIN, LENGTH = 4, 0.75, 2.0, 0.7
 #: Rows that fit the logistic curve, at most about so many (a hash of the doc_id chooses them).
@@ -186,7 +190,7 @@ class ToxicityModel:
         # a merge join at every size, so that disk grows in proportion and no label table is broadcast
         seen = d.hint("merge").join(known.filter(fold() != 4), "doc_id", "left").select("text", F.col("toxic").alias("class"))
         self.sc = docs.sparkSession.sparkContext
-        self.tab = tables(checkpointed(vocabulary(seen)))
+        self.tab = tables(stored(vocabulary(seen)))
         later = known.filter(fold() == 4)
         n = later.count()
         if n > CURVE_ROWS:
@@ -220,6 +224,7 @@ class ToxicityModel:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every whole text of documents."""
     docs = read(spark, sf_dir, "documents")
     model = ToxicityModel(docs, read(spark, sf_dir, "labels"))
     out = model.score(pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"])
