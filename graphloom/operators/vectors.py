@@ -123,18 +123,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once for a row, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalised(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    return _let(v, lambda u: _let(F.sqrt(dot(u, u)), lambda n: F.transform(u, lambda x: x / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def truncated(v: Column, dim: int) -> Column:
     """Layer-normed over all components, cut to dim, unit length."""
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    return normalised(F.slice(F.transform(v, lambda x: (x - mean) / F.sqrt(var + 1e-5)), 1, dim))
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    var = lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v)
+    return normalised(_let(mean, lambda m: _let(F.sqrt(var(m) + 1e-5), lambda w: F.slice(F.transform(v, lambda x: (x - m) / w), 1, dim))))
 
 
 def packed_bits(v: Column, dim: int) -> Column:
@@ -150,7 +153,7 @@ def hamming_words(a: Column, b: Column) -> Column:
 def int8(v: Column) -> Column:
     """Components scaled so that the largest becomes 127, rounded."""
     top = F.aggregate(v, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x * 127 / F.when(top == 0, 1.0).otherwise(top)).cast("int"))))
+    return _let(F.when(top == 0, 1.0).otherwise(top), lambda t: F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x * 127 / t).cast("int")))))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

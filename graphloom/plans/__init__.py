@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them all."""
 
-from graphloom.plans import events, retrieval, tables, texts  # noqa: F401
+from graphloom.plans import events, logs, memory, ranking, retrieval, tables, texts  # noqa: F401
