@@ -161,7 +161,7 @@ def answer_containment(text: Column, gold: Column) -> Column:
 def answer_tokens(s: Column) -> Column:
     """Tokens of an answer: lower case, punctuation and articles out."""
     plain = F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"[.,!?;:'\"()\[\]{}\-_/\\|`~@#$%^&*+=<>]", " ")
-    words = F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    words = F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?<![A-Za-z0-9_])(a|an|the)(?![A-Za-z0-9_])", " "), r"\s+", " "))
     return F.filter(F.split(words, " "), lambda t: t != "")
 
 

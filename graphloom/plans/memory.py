@@ -38,11 +38,11 @@ def contract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("reweight_score", """
 WITH p AS (SELECT event_id, value / 100 AS a, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 10) / 10.0 END AS b, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 0.5 END AS c FROM events)
-SELECT event_id, round((0.5 * a + coalesce(0.3 * b, 0) + coalesce(0.2 * c, 0)) / (0.5 + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN c IS NULL THEN 0 ELSE 0.2 END), 6) AS score FROM p""")
+SELECT event_id, round((0.47 * a + coalesce(0.31 * b, 0) + coalesce(0.22 * c, 0)) / (0.47 + CASE WHEN b IS NULL THEN 0 ELSE 0.31 END + CASE WHEN c IS NULL THEN 0 ELSE 0.22 END), 6) AS score FROM p""")
 def reweighted(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     parts = {"a": F.col("value") / 100, "b": F.when(i % 3 != 0, (i % 10) / 10), "c": F.when(i % 2 != 0, 0.5)}
-    return read(spark, d, "events").select("event_id", F.round(memory.reweight(parts, {"a": 0.5, "b": 0.3, "c": 0.2}), 6).alias("score"))
+    return read(spark, d, "events").select("event_id", F.round(memory.reweight(parts, {"a": 0.47, "b": 0.31, "c": 0.22}), 6).alias("score"))
 
 
 RECEIPTS = f"""{EVENTS}, r AS (SELECT *, event_id % 4 = 0 AS would, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 5) / 4.0 END AS coverage, CASE event_id % 3 WHEN 0 THEN 'helped' WHEN 1 THEN 'useless' END AS signal FROM d),
