@@ -65,15 +65,19 @@ _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{
 _OLDER_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?![{YOUNGER}])\p{{L}})+|(?![{YOUNGER}])\p{{N}}|(?:[{YOUNGER}]|[^{_SPACE}\p{{L}}\p{{N}}])+")
 
 
+_ODD = re.compile(f"[{STARTERS}{YOUNGER}{''.join(map(chr, LOWER))}]")
+
+
+def _plain(text: str) -> str:
+    """NFC and lower case; the library lower-cases letter by letter, without the final sigma."""
+    text = unicodedata.normalize("NFC", text)
+    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+
+
 def normalised(text: str) -> str:
     """NFC and lower case as the tokenizers library has them."""
-    if _STARTER.search(text):
-        text = "".join(unicodedata.normalize("NFC", x) for x in _STARTER.split(text))
-    else:
-        text = unicodedata.normalize("NFC", text)
-    # the library lower-cases letter by letter, without the final sigma
-    text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-    return text.translate(LOWER)
+    pieces = [unicodedata.normalize("NFC", x) for x in _STARTER.split(text)]
+    return "".join(c.lower() for c in "".join(pieces)).translate(LOWER)
 
 
 def byte_letters() -> list[str]:
@@ -178,8 +182,9 @@ class WordBpe:
             elif piece.isascii():
                 out += _ASCII_WORDS.findall(piece.lower())
             else:
-                piece = normalised(piece)
-                out += (_OLDER_WORDS if _YOUNGER.search(piece) else _WORDS).findall(piece)
+                odd = _ODD.search(piece)  # one look for all that Python and the library see differently
+                piece = normalised(piece) if odd else _plain(piece)
+                out += (_OLDER_WORDS if odd and _YOUNGER.search(piece) else _WORDS).findall(piece)
         return out
 
     def learn(self, words: set[str]) -> None:
