@@ -8,6 +8,7 @@ from graphloom.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from graphloom.llm.language_id import op7_language_id
 from graphloom.llm.minhash_dedup import op10_minhash_dedup
 from graphloom.llm.mixing import OP6_SQL, op6_mixing
+from graphloom.llm.periodic_runs import op13_periodic_runs
 from graphloom.llm.secrets import op8_secret_scan
 from graphloom.llm.token_counts import op2_token_counts
 from graphloom.llm.toxicity import op5_toxicity
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {"op3_embedding_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL}
