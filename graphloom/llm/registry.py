@@ -6,6 +6,7 @@ from graphloom.llm.audio import op1_media_audio
 from graphloom.llm.bpe import op4_bpe
 from graphloom.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from graphloom.llm.language_id import op7_language_id
+from graphloom.llm.merkle import OP11_SQL, op11_merkle_manifest
 from graphloom.llm.minhash_dedup import op10_minhash_dedup
 from graphloom.llm.mixing import OP6_SQL, op6_mixing
 from graphloom.llm.periodic_runs import op13_periodic_runs
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
-SQL = {"op3_embedding_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op3_embedding_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
