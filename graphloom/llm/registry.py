@@ -12,6 +12,7 @@ from graphloom.llm.mixing import OP6_SQL, op6_mixing
 from graphloom.llm.periodic_runs import op13_periodic_runs
 from graphloom.llm.secrets import op8_secret_scan
 from graphloom.llm.token_counts import op2_token_counts
+from graphloom.llm.topk_products import OP12_SQL, op12_topk_products
 from graphloom.llm.toxicity import op5_toxicity
 from graphloom.llm.url_filter import OP9_SQL, op9_url_filter
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_topk_products": op12_topk_products,
     "op13_periodic_runs": op13_periodic_runs,
 }
-SQL = {"op3_embedding_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+SQL = {"op3_embedding_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_topk_products": OP12_SQL}
