@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ STOPWORDS = [
 ]
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value computed once for a row. A split inside a lambda would run again for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def search_tokens(text: Column) -> Column:
     """Lower-case runs of [a-z0-9] longer than one letter, stop words out (repeats stay)."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -61,9 +68,11 @@ def query_terms(q: Column, most: int = 8) -> Column:
 
 def coverage_ratio(terms: Column, text: Column) -> Column:
     """Share of the terms that are whole tokens of the text (phrases: parts of it); null without terms."""
-    tokens = F.split(F.lower(text), TERM_SPLIT)
-    hit = F.filter(terms, lambda t: F.when(F.contains(t, F.lit(" ")), F.contains(F.lower(text), t)).otherwise(F.array_contains(tokens, t)))
-    return F.when(F.size(terms) > 0, F.size(hit) / F.size(terms))
+
+    def hits(low: Column) -> Column:
+        return once(F.split(low, TERM_SPLIT), lambda tokens: F.size(F.filter(terms, lambda t: F.when(F.contains(t, F.lit(" ")), F.contains(low, t)).otherwise(F.array_contains(tokens, t)))))
+
+    return F.when(F.size(terms) > 0, once(F.lower(text), hits) / F.size(terms))
 
 
 def enrich_text(text: Column, date: Column, session: Column, participants: Column, tags: Column, entities: Column) -> Column:
@@ -71,8 +80,8 @@ def enrich_text(text: Column, date: Column, session: Column, participants: Colum
     clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
 
     def some(xs: Column, most: int) -> Column:
-        xs = F.filter(F.transform(xs, clean), lambda x: x != "")
-        first = F.filter(xs, lambda x, i: F.array_position(F.transform(xs, F.lower), F.lower(x)) == i + 1)
+        distinct = lambda xs: once(F.transform(xs, F.lower), lambda low: F.filter(xs, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+        first = once(F.filter(F.transform(xs, clean), lambda x: x != ""), distinct)
         return F.nullif(F.array_join(F.slice(first, 1, most), ", "), F.lit(""))
 
     named = [("date", F.nullif(clean(date), F.lit(""))), ("session", F.nullif(clean(session), F.lit(""))), ("participants", some(participants, 8)), ("tags", some(tags, 8)), ("entities", some(entities, 12))]

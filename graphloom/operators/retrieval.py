@@ -10,30 +10,32 @@ from graphloom.functions.text import search_tokens
 from graphloom.operators.vectors import best, l2, search
 
 
+#: Stands for the document itself among its terms; no token is empty.
+WHOLE = ""
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs(doc_id, text), terms(term) -> n, avgdl (of all documents), doc_id, dl, term, tf of the terms asked for.
+    """docs(doc_id, text), terms(term) -> doc_id, dl, term, tf of the terms asked for; term WHOLE gives every document's length.
 
-    Each document is read once; a term's count comes from its own row, so nothing is shuffled for it. The
-    distinct terms are sent to the tasks where Spark finds them small enough, else joined by a shuffle.
+    One pass over the texts: tokens that nobody asks for are dropped before the shuffle (the distinct terms are sent to
+    the tasks where Spark finds them small enough), the others are counted in the task first, so a posting is shuffled, never a text.
     """
-    tokens = docs.select("doc_id", search_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    each = tokens.select("doc_id", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-    used = each.join(terms, "term", "left_semi")
-    return used.select("doc_id", "dl", "term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"))
+    tokens = docs.select("doc_id", search_tokens(F.col("text")).alias("tokens"))
+    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit(WHOLE)))).alias("term"))
+    return each.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """queries(query_id, text), docs(doc_id, text) -> query_id, doc_id, score, rank; OR of the query's terms.
 
-    Postings of terms that no query holds are dropped inside the scan; the rest are stored once and read for
-    document frequencies and for scores.
+    Postings are stored once and read for lengths, document frequencies and scores.
     """
     spark = docs.sparkSession
     with Scratch(spark) as keep:
         q = keep(queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term")))
-        terms = keep(q.select("term").distinct())
+        terms = keep(q.select("term").distinct().unionByName(spark.range(1).select(F.lit(WHOLE).alias("term"))))
         used = keep(postings(docs, terms))
-        size = docs.select(F.size(search_tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
+        size = used.filter(F.col("term") == WHOLE).agg(F.sum("tf").alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
         df = used.groupBy("term").agg(F.count("*").alias("df"))
         stats = df.withColumn("one", F.lit(1)).join(F.broadcast(size), "one")  # one row
         idf = stats.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")

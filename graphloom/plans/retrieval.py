@@ -45,11 +45,13 @@ rel AS (SELECT item_id AS query_id, doc_id FROM bw JOIN dw USING (s) JOIN bn USI
 
 
 def runs(text: F.Column) -> F.Column:
-    w = F.split(text, " ", -1)
-    return F.array_distinct(F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))).otherwise(F.array().cast("array<string>")))
+    """64-bit hashes of a text's different runs of five words; two runs share one once in 10 to the 19."""
+    some = lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5))))
+    return F.array_distinct(F.coalesce(T.once(F.split(text, " ", -1), some), F.array().cast("array<long>")))
 
 
 def qrels(spark: SparkSession, d: str) -> DataFrame:
+    """Runs that no passage holds are dropped before the shuffle where the passages' runs are few enough to be sent to the tasks."""
     b = bench(spark, d).select("query_id", F.explode(runs(F.col("text"))).alias("s"))
     m = b.groupBy("query_id").agg(F.count("*").alias("m"))
     docs = read(spark, d, "documents").select("doc_id", F.explode(runs(F.col("text"))).alias("s"))
