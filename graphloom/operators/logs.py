@@ -5,35 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.folds import ttl_hits
 from graphloom.operators.telemetry import micros
 
 
-def token_bucket(requests: DataFrame, rate: float, burst: float, idle: float = 300.0) -> DataFrame:
-    """requests(peer, t seconds, id) -> peer, id, allowed: tokens refill at rate up to burst, a request takes one; an idle peer starts full.
-
-    A peer's requests are folded in time order; one peer's requests are the unit of the state and are held together.
-    """
-    g = requests.groupBy("peer").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("r"))
-    kind = requests.schema["id"].dataType.simpleString()
-    empty = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast(f"array<struct<id:{kind},allowed:boolean>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = x["t"] - s["last"]
-        full = s["last"].isNull() | (gap > idle)
-        have = F.when(full, float(burst)).otherwise(F.least(F.lit(float(burst)), s["tokens"] + gap * rate))
-        ok = have >= 1
-        return F.struct((have - F.when(ok, 1.0).otherwise(0.0)).alias("tokens"), x["t"].cast("double").alias("last"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), ok.alias("allowed")))).alias("out"))
-
-    return g.select("peer", F.explode(F.aggregate("r", empty, step, lambda s: s["out"])).alias("o")).select("peer", "o.id", "o.allowed")
-
-
 def ttl_replay(requests: DataFrame, ttl: float) -> DataFrame:
     """requests(key, t seconds) -> hits, misses, hit_rate of a cache whose entries live ttl seconds from their miss."""
-    g = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("t"))
-    zero = F.struct(F.lit(None).cast("double").alias("since"), F.lit(0).cast("long").alias("hits"))
-    step = lambda s, t: F.when(s["since"].isNotNull() & (t - s["since"] <= ttl), F.struct(s["since"].alias("since"), (s["hits"] + 1).alias("hits"))).otherwise(F.struct(t.alias("since"), s["hits"].alias("hits")))
-    per = g.select(F.size("t").cast("long").alias("n"), F.aggregate("t", zero, step, lambda s: s["hits"]).alias("hits"))
-    a = per.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    a = ttl_hits(requests.filter("key is not null"), ttl).agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
     return a.select("hits", (F.col("n") - F.col("hits")).alias("misses"), F.round(F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)), 6).alias("hit_rate"))
 
 
@@ -75,11 +53,21 @@ def source_counts(events: DataFrame) -> DataFrame:
     return events.agg(n("local"), n("federation"), n("web"), F.count("*").alias("total"))
 
 
-def bypass_summary(attempts: DataFrame) -> DataFrame:
-    """attempts(tool, verdict denied or passed, or null while open) -> per tool and in all: terminal, denied, passed, share of passed."""
-    d, p = F.count_if(F.col("verdict") == "denied"), F.count_if(F.col("verdict") == "passed")
-    g = attempts.rollup("tool").agg(F.count("*").alias("attempts"), d.alias("denied"), p.alias("passed"))
-    return g.withColumn("rate", F.round(F.coalesce(F.try_divide("passed", F.col("denied") + F.col("passed")), F.lit(0.0)), 6))
+def bypass_summary(prefetch: DataFrame, bypass: DataFrame, since: Column | None = None) -> DataFrame:
+    """prefetch(ts, terminal), bypass(ts, tool, denied) -> per tool, and tool null for all: attempts, denied, passed, the verdicts and the rate.
+
+    An attempt that is not denied has passed. The rate is attempts by terminal verdicts of the prefetch log, 0 without any;
+    since leaves out what is older, in both logs.
+    """
+    if since is not None:
+        prefetch, bypass = prefetch.filter(F.col("ts") >= since), bypass.filter(F.col("ts") >= since)
+    denied = F.count_if(F.coalesce("denied", F.lit(False)))
+    n = F.count("*")
+    per = bypass.groupBy("tool").agg(n.alias("attempts"), denied.alias("denied"))
+    every = bypass.agg(n.alias("attempts"), denied.alias("denied")).select(F.lit(None).cast("string").alias("tool"), "attempts", "denied")
+    verdicts = prefetch.agg(F.count_if(F.coalesce("terminal", F.lit(False))).alias("terminal_verdicts"), n.alias("all_verdicts"))
+    x = per.unionByName(every).withColumn("one", F.lit(1)).join(F.broadcast(verdicts.withColumn("one", F.lit(1))), "one").drop("one")  # one row
+    return x.withColumn("passed", F.col("attempts") - F.col("denied")).withColumn("rate", F.round(F.coalesce(F.try_divide("attempts", "terminal_verdicts"), F.lit(0.0)), 6))
 
 
 def outcomes(answers: DataFrame) -> DataFrame:

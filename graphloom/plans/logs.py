@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import query
 from graphloom.frames import read
-from graphloom.operators import logs, telemetry
+from graphloom.operators import folds, logs, telemetry
 from graphloom.plans.events import SCORES, reviews
 
 
-@query("token_bucket")
+#: Request after request of each peer, as the fold does it.
+BUCKET = """
+WITH RECURSIVE r AS (SELECT user_id AS peer, event_id AS id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (
+  SELECT peer, id, n, t, CAST(1 AS DOUBLE) AS tokens, true AS allowed FROM r WHERE n = 1
+  UNION ALL SELECT peer, id, n, t, have - CASE WHEN have >= 1 THEN 1 ELSE 0 END, have >= 1
+  FROM (SELECT r.*, CASE WHEN r.t - f.t > 200000 THEN 2 ELSE least(2, f.tokens + (r.t - f.t) * (1 / CAST(40000 AS DOUBLE))) END AS have FROM f JOIN r ON r.peer = f.peer AND r.n = f.n + 1))
+SELECT peer, id, allowed FROM f"""
+
+
+@query("token_bucket", BUCKET)
 def bucket(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select(F.col("user_id").alias("peer"), logs.seconds(F.col("ts")).alias("t"), F.col("event_id").alias("id"))
-    return logs.token_bucket(e, 1 / 40_000, 2, 200_000)
+    return folds.token_bucket(e, 1 / 40_000, 2, 200_000)
 
 
 @query("ttl_replay", """
@@ -63,11 +73,16 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("bypass_summary", """
-WITH a AS (SELECT event_type AS tool, CASE event_id % 3 WHEN 0 THEN 'denied' WHEN 1 THEN 'passed' END AS verdict FROM events)
-SELECT tool, count(*) AS attempts, count(*) FILTER (verdict = 'denied') AS denied, count(*) FILTER (verdict = 'passed') AS passed, round(count(*) FILTER (verdict = 'passed') / CAST(count(verdict) AS DOUBLE), 6) AS rate FROM a GROUP BY ROLLUP (tool)""")
+WITH p AS (SELECT count(*) FILTER (event_id % 4 <> 0 AND event_id % 7 <> 0) AS terminal_verdicts, count(*) AS all_verdicts FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND event_type <> 'purchase'),
+b AS (SELECT event_type AS tool, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS denied FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND event_id % 5 < 2),
+g AS (SELECT tool, count(*) AS attempts, count(*) FILTER (denied) AS denied FROM b GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (denied) FROM b)
+SELECT *, attempts - denied AS passed, round(attempts / CAST(terminal_verdicts AS DOUBLE), 6) AS rate FROM g, p""")
 def bypass(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id") % 3
-    return logs.bypass_summary(read(spark, d, "events").select(F.col("event_type").alias("tool"), F.when(k == 0, "denied").when(k == 1, "passed").alias("verdict")))
+    """Both logs hold open and missing marks."""
+    e, i = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_id")
+    prefetch = e.filter("event_type <> 'purchase'").select("ts", F.when(i % 7 != 0, i % 4 != 0).alias("terminal"))
+    log = e.filter(i % 5 < 2).select("ts", F.col("event_type").alias("tool"), F.when(i % 3 == 0, True).when(i % 3 == 1, False).alias("denied"))
+    return logs.bypass_summary(prefetch, log, F.lit("2024-01-08").cast("timestamp"))
 
 
 @query("federated_outcomes", """

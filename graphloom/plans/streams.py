@@ -10,6 +10,8 @@ from graphloom.catalog import query
 from graphloom.frames import read
 from graphloom.operators import telemetry
 from graphloom.plans.events import SCORES, reviews
+from graphloom.plans.logs import BUCKET
+from graphloom.streaming import state
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +46,9 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY root ORDER BY ts ROWS UNBOUNDED PR
 SELECT root, min(ts) AS start, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM s GROUP BY root, k""")
 def debounced(spark: SparkSession, d: str) -> DataFrame:
     c = events(spark, d).select((F.col("user_id") % 5).alias("root"), F.concat(F.lit("p"), (F.col("event_id") % 12).cast("string")).alias("path"), "ts")
-    out = streaming.run_once(streaming.debounced(streaming.follow(spark, c), "2 hours", "1 day"), "complete", ["root", "start", "part"])
+    last = c.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("root"), F.lit("end").alias("path"), (F.col("ts") + F.expr("interval 3 days")).alias("ts"))
+    # a session leaves, and its state with it, once the watermark has passed it: a last row of no root moves it on
+    out = streaming.run_once(streaming.debounced(streaming.follow(spark, c.unionByName(last)), "2 hours", "1 day"), "append").filter("root >= 0")
     return out.select("root", "start", F.array_join("paths", ",").alias("paths"))
 
 
@@ -52,3 +56,25 @@ def debounced(spark: SparkSession, d: str) -> DataFrame:
 def chunked(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source_uri"), F.col("source").alias("title"), "text")
     return streaming.run_once(streaming.chunk_stream(streaming.follow(spark, x)), "append")
+
+
+@query("token_bucket_stream", BUCKET)
+def buckets(spark: SparkSession, d: str) -> DataFrame:
+    r = events(spark, d).select(F.col("user_id").alias("peer"), F.col("event_id").alias("id"), "ts")
+    return streaming.run_once(state.token_bucket_stream(streaming.follow(spark, r), 1 / 40_000, 2, 200_000, "60 days"), "append")
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as queries of eight workspaces, one a second."""
+    v = read(spark, d, "embeddings")
+    return v.select((F.col("vec_id") % 8).alias("workspace"), F.col("vec_id").alias("query_id"), F.timestamp_seconds(F.col("vec_id") + 86_400).alias("ts"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query("recent_reuse_stream", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS source, round(list_dot_product(a.e, b.e), 6) AS sim FROM v a JOIN v b ON b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 400 AND a.vec_id % 8 = b.vec_id % 8),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, source) AS n FROM s WHERE sim >= 0.35)
+SELECT vec_id % 8 AS workspace, vec_id AS query_id, source, sim FROM v LEFT JOIN b ON b.query_id = v.vec_id AND n = 1""")
+def recent(spark: SparkSession, d: str) -> DataFrame:
+    """Every query stays an entry, so that SQL can say which one answers; test_state.py replays the cache of missed queries."""
+    return streaming.run_once(state.recent_reuse_stream(streaming.follow(spark, asked(spark, d)), 400.0, 0.35, True, "60 days"), "append")
