@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them all."""
 
-from graphloom.plans import events, filters, joins, logs, memory, ranking, retrieval, streams, tables, texts  # noqa: F401
+from graphloom.plans import events, filters, joins, logs, memory, mentions, ranking, retrieval, streams, tables, texts  # noqa: F401
