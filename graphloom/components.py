@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.frames import Scratch, stored
+from graphloom.frames import Scratch, scratched
 
 #: Nodes that one task's forest holds before it is sent on and begun anew.
 FOREST = 500_000
@@ -59,7 +59,8 @@ def _roots(parents: DataFrame, keep: Scratch) -> DataFrame:
             return cur
 
 
-def components(edges: DataFrame) -> DataFrame:
+@scratched
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """edges(a, b) of any one orderable type -> (node, component): component is the smallest node reached.
 
     Only nodes with an edge to another node come back; loops, nulls and repeated edges are ignored,
@@ -68,24 +69,23 @@ def components(edges: DataFrame) -> DataFrame:
     to roots. A hub's edges meet in a min() that is combined before the shuffle. The driver sees only
     emptiness tests.
     """
-    with Scratch(edges.sparkSession) as keep:
-        e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        e = keep(local_forests(e).distinct())
-        found = None
-        while not e.isEmpty():
-            roots = _roots(keep(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))), keep)
-            low = roots.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
-            high = roots.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
-            joined = e.join(high, "hi").join(low, "lo", "left").select(F.col("hi_root").alias("x"), F.coalesce("lo_root", "lo").alias("y"))
-            joined = joined.filter("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
-            e = keep(local_forests(joined).distinct())
-            if found is None:
-                found = roots
-            else:
-                newer = roots.select(F.col("node").alias("root"), F.col("root").alias("newer"))
-                moved = found.join(newer, "root", "left").select("node", F.coalesce("newer", "root").alias("root"))
-                found = keep(moved.unionByName(roots))
+    e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    e = keep(local_forests(e).distinct())
+    found = None
+    while not e.isEmpty():
+        roots = _roots(keep(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))), keep)
+        low = roots.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
+        high = roots.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
+        joined = e.join(high, "hi").join(low, "lo", "left").select(F.col("hi_root").alias("x"), F.coalesce("lo_root", "lo").alias("y"))
+        joined = joined.filter("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
+        e = keep(local_forests(joined).distinct())
         if found is None:
-            return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).filter(F.lit(False))
-        tops = found.select(F.col("root").alias("node"), "root").distinct()
-        return stored(found.unionByName(tops).select("node", F.col("root").alias("component")))
+            found = roots
+        else:
+            newer = roots.select(F.col("node").alias("root"), F.col("root").alias("newer"))
+            moved = found.join(newer, "root", "left").select("node", F.coalesce("newer", "root").alias("root"))
+            found = keep(moved.unionByName(roots))
+    if found is None:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).filter(F.lit(False))
+    tops = found.select(F.col("root").alias("node"), "root").distinct()
+    return keep(found.unionByName(tops).select("node", F.col("root").alias("component")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,12 +86,38 @@ class Scratch:
     def __call__(self, df: DataFrame) -> DataFrame:
         return stored(df, self.folder)
 
+    def round(self, df: DataFrame, number: int) -> DataFrame:
+        """The table of one round of a loop; that of the round before the last goes, since only the last is read."""
+        if number >= 2:
+            delete(self.spark, f"{self.folder}/round-{number - 2}")
+        return stored(df, f"{self.folder}/round-{number}")
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratched(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f(frame, ..., keep) as a function of the other arguments: its result is stored, what it kept on the way is deleted.
+
+    A caller that has a Scratch of its own passes it as keep and reads the result while that lasts.
+    """
+
+    @wraps(f)
+    def run(first: DataFrame, *args: object, keep: Scratch | None = None, **more: object) -> DataFrame:
+        if keep is not None:
+            return f(first, *args, keep=keep, **more)
+        with Scratch(first.sparkSession) as own:
+            return stored(f(first, *args, keep=own, **more))
+
+    return run
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.frames import shuffle_partitions, stored
+from graphloom.frames import Scratch, scratched, shuffle_partitions
 
 
 def retrieval_metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
@@ -26,14 +26,15 @@ def retrieval_metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, k:
     )
 
 
-def auc(scored: DataFrame) -> DataFrame:
+@scratched
+def auc(scored: DataFrame, *, keep: Scratch) -> DataFrame:
     """scored(score, label 0/1) -> n_pos, n_neg, auc (null with one class) from counts per distinct score; no pair is formed.
 
     Scores are range partitioned; sums of the ranges, one row for each, give what lies below each range.
     """
     n = shuffle_partitions(scored.sparkSession)
     g = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    g = stored(g.repartitionByRange(n, "score").withColumn("part", F.spark_partition_id()))
+    g = keep(g.repartitionByRange(n, "score").withColumn("part", F.spark_partition_id()))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = g.groupBy("part").agg(F.sum("neg").alias("in_part")).withColumn("before", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)))  # one row a partition
     inside = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,14 +103,15 @@ def classification_report(judged: DataFrame) -> DataFrame:
     return x.select("class", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
 
 
-def quantiles(values: DataFrame, shares: list[float], rule: str = "floor_n") -> DataFrame:
+@scratched
+def quantiles(values: DataFrame, shares: list[float], rule: str = "floor_n", *, keep: Scratch) -> DataFrame:
     """values(x) -> q, value by an index rule: floor(q n), at most n - 1 ("floor_n"), or floor(q (n - 1)) ("floor_n1").
 
     Values are counted per distinct value; running counts come from range partitions, as in auc.
     """
     n_parts = shuffle_partitions(values.sparkSession)
     g = values.filter("x is not null").groupBy("x").agg(F.count("*").alias("c"))
-    g = stored(g.repartitionByRange(n_parts, "x").withColumn("part", F.spark_partition_id()))
+    g = keep(g.repartitionByRange(n_parts, "x").withColumn("part", F.spark_partition_id()))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = g.groupBy("part").agg(F.sum("c").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0))).drop("k")  # one row a partition
     inside = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.frames import stored
+from graphloom.frames import Scratch, scratched
 from graphloom.functions.text import secret_matches
 
 
@@ -21,40 +21,44 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
     return degree.join(nodes.select("id"), "id", "left_semi").orderBy(F.desc("degree"), "id").limit(most)
 
 
-def reach(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+@scratched
+def reach(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, *, keep: Scratch) -> DataFrame:
     """id, hop of all ids reached, ends of edges that are no nodes among them."""
-    both = stored(undirected(edges))
-    seen = front = stored(starts.select("id").distinct().join(nodes.select("id"), "id", "left_semi").withColumn("hop", F.lit(0)))
+    both = keep(undirected(edges))
+    seen = front = keep(starts.select("id").distinct().join(nodes.select("id"), "id", "left_semi").withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
         step = front.select(F.col("id").alias("source")).join(both, "source").select(F.col("target").alias("id")).distinct()
-        front = stored(step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        front = keep(step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(front)
     return seen
 
 
-def k_hop(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+@scratched
+def k_hop(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, *, keep: Scratch) -> DataFrame:
     """id, hop of all nodes reached from the starts in at most depth undirected steps."""
-    return reach(starts, nodes, edges, depth).join(nodes.select("id"), "id", "left_semi")
+    return reach(starts, nodes, edges, depth, keep=keep).join(nodes.select("id"), "id", "left_semi")
 
 
-def k_hop_edges(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+@scratched
+def k_hop_edges(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, *, keep: Scratch) -> DataFrame:
     """The edges between ids that k_hop visits, dead ends included, each once."""
-    seen = stored(reach(starts, nodes, edges, depth).select("id"))
+    seen = keep(reach(starts, nodes, edges, depth, keep=keep).select("id"))
     e = edges.select("source", "target").distinct().join(seen.withColumnRenamed("id", "source"), "source", "left_semi")
     return e.join(seen.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = 9) -> DataFrame:
+@scratched
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = 9, *, keep: Scratch) -> DataFrame:
     """pairs(start, goal) -> start, goal, path (empty if none): fewest undirected steps, the smallest path among equals.
 
     Each round extends the frontier of every start by one edge and keeps one path for each node met.
     """
-    both = stored(undirected(edges).filter("source <> target"))
-    goals = stored(pairs.select("start", "goal").distinct())
-    seen = front = stored(goals.select("start", F.col("start").alias("at"), F.array("start").alias("path")).distinct())
+    both = keep(undirected(edges).filter("source <> target"))
+    goals = keep(pairs.select("start", "goal").distinct())
+    seen = front = keep(goals.select("start", F.col("start").alias("at"), F.array("start").alias("path")).distinct())
     for _ in range(max_edges):
         step = front.join(both, front["at"] == both["source"]).select("start", F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path"))
-        front = stored(step.join(seen.select("start", "at"), ["start", "at"], "left_anti").groupBy("start", "at").agg(F.min("path").alias("path")))
+        front = keep(step.join(seen.select("start", "at"), ["start", "at"], "left_anti").groupBy("start", "at").agg(F.min("path").alias("path")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -62,33 +66,73 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = 9) -> Da
     return found.withColumn("path", F.coalesce("path", F.array().cast(found.schema["path"].dataType)))
 
 
-def subgraph_stats(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 48) -> DataFrame:
+@scratched
+def subgraph_stats(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 48, *, keep: Scratch) -> DataFrame:
     """seeds(id) -> id, n_nodes, n_edges of its one-hop bundle: the seed and its first neighbours that are nodes, edges among them."""
     known = nodes.select("id")
     both = undirected(edges).filter("source <> target").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
     own = seeds.select(F.col("id").alias("seed")).distinct().join(known.withColumnRenamed("id", "seed"), "seed", "left_semi")
     near = own.join(both, own["seed"] == both["source"]).select("seed", F.col("target").alias("id"))
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("id"))).filter(F.col("n") < most).drop("n")
-    bundle = stored(near.unionByName(own.select("seed", F.col("seed").alias("id"))))
+    bundle = keep(near.unionByName(own.select("seed", F.col("seed").alias("id"))))
     e = edges.select("source", "target").distinct()
     inside = bundle.select("seed", F.col("id").alias("source")).join(e, "source").join(bundle.select("seed", F.col("id").alias("target")), ["seed", "target"])
     count = bundle.groupBy("seed").agg(F.count("*").alias("n_nodes")).join(inside.groupBy("seed").agg(F.count("*").alias("n_edges")), "seed", "left")
     return count.select(F.col("seed").alias("id"), "n_nodes", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
 
 
-def replace_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """By id: a new row wins whole."""
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+def latest(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row for each key: the last in the order, or where there is none (or a tie) the greatest by its fields as text."""
+    if order is None:
+        by = F.to_json(F.struct(*[c for c in rows.columns if c not in keys]))
+    else:
+        by = F.struct(order, F.to_json(F.struct(*[c for c in rows.columns if c not in [*keys, order]])))
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("row_")).select(*keys, *[F.col(f"row_.{c}").alias(c) for c in rest])
 
 
-def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """By unordered pair of ends, whatever the relation: a new edge wins; new edges without both ends are left out."""
-    ids = nodes.select("id")
+def replace_nodes(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """By id: a new row wins whole; of new rows with one id the last in `order` (a column of the new side alone)."""
+    n = latest(new, ["id"], order)
+    return old.join(n.select("id"), "id", "left_anti").unionByName(n.select(*old.columns))
+
+
+def _folded(new: DataFrame, keys: list[str], order: str | None, columns: list[str], maps: set[str]) -> DataFrame:
+    """Rows of one key merged one over the other in order: each field's last value that is not null, each map's last entries."""
+    at = F.struct(order) if order else F.to_json(F.struct(*[c for c in columns if c not in keys]))
+    rest = [c for c in columns if c not in keys]
+    plain = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in rest if c not in maps]
+    # entries one after the other: the last one of a name stays
+    entry = lambda c: F.aggregate(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.map_entries(c).alias("e"))))), lambda x: x["e"]), F.create_map().cast(new.schema[c].dataType), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: ~F.array_contains(F.transform(e, lambda y: y["key"]), k)), F.map_from_entries(e)))
+    nested = [F.when(F.max(F.col(c).isNotNull()), entry(c)).alias(c) for c in rest if c in maps]
+    return new.groupBy(*keys).agg(*plain, *nested).select(*columns)
+
+
+def _merged(old: DataFrame, new: DataFrame, on: F.Column, columns: list[str], maps: set[str]) -> DataFrame:
+    """old and new (aliases o and n) joined: a new field wins where it is not null, a map is merged entry by entry."""
+
+    def field(c: str) -> F.Column:
+        o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
+        if c not in maps:
+            return F.coalesce(n, o).alias(c)
+        kept = F.map_filter(o, lambda k, _: ~F.coalesce(F.map_contains_key(n, k), F.lit(False)))
+        return F.when(n.isNotNull() & o.isNotNull(), F.map_concat(kept, n)).otherwise(F.coalesce(n, o)).alias(c)
+
+    return old.alias("o").join(new.alias("n"), on, "full").select(*[field(c) for c in columns])
+
+
+def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame, order: str | None = None) -> DataFrame:
+    """By unordered pair of ends, whatever the relation: a new edge's fields that are not null win, the others stay.
+
+    New edges without both ends among the nodes are left out; several of one pair are merged in `order`, a column of the new side alone.
+    """
+    ids = nodes.select("id").distinct()
     good = new.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    pair = lambda e, p: e.withColumn("pair", F.concat_ws("|", F.least("source", "target"), F.greatest("source", "target"))).withColumn("prefer", F.lit(p))
-    every = pair(old, 0).unionByName(pair(good, 1))
-    columns = [c for c in old.columns]
-    return every.groupBy("pair").agg(F.max_by(F.struct(*columns), F.struct("prefer", *columns)).alias("e")).select("e.*")
+    pair = lambda e: e.withColumn("low_", F.least("source", "target")).withColumn("high_", F.greatest("source", "target"))
+    columns, maps = ["low_", "high_", *old.columns], {f.name for f in old.schema.fields if f.dataType.typeName() == "map"}
+    n = _folded(pair(good), ["low_", "high_"], order, columns, maps)
+    on = (F.col("o.low_") == F.col("n.low_")) & (F.col("o.high_") == F.col("n.high_"))
+    return _merged(pair(old), n, on, columns, maps).drop("low_", "high_")
 
 
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,15 +142,16 @@ def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(g, "id", "left_anti"), rest
 
 
-def deep_search(seeds: DataFrame, edges: DataFrame, k: int = 10, wide: int = 10, step: float = 0.1) -> DataFrame:
+@scratched
+def deep_search(seeds: DataFrame, edges: DataFrame, k: int = 10, wide: int = 10, step: float = 0.1, *, keep: Scratch) -> DataFrame:
     """seeds(query_id, id, rank, distance) -> hop 0 seeds, hop 1 and 2 neighbours a step further each; first reach wins, the k nearest."""
-    both = stored(undirected(edges).filter("source <> target").select(F.col("source").alias("id"), "target"))
+    both = keep(undirected(edges).filter("source <> target").select(F.col("source").alias("id"), "target"))
 
     def onward(rows: DataFrame, hop: int) -> DataFrame:
         return rows.join(both, "id").groupBy("query_id", F.col("target").alias("id")).agg(F.min("distance").alias("distance")).withColumn("distance", F.round(F.col("distance") + step, 9)).withColumn("hop", F.lit(hop))
 
-    zero = stored(seeds.select("query_id", "id", "distance").withColumn("hop", F.lit(0)))
-    one = stored(onward(zero, 1).join(zero.select("query_id", "id"), ["query_id", "id"], "left_anti"))
+    zero = keep(seeds.select("query_id", "id", "distance").withColumn("hop", F.lit(0)))
+    one = keep(onward(zero, 1).join(zero.select("query_id", "id"), ["query_id", "id"], "left_anti"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     first = one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= wide).drop("n")
     seen = zero.unionByName(one)
@@ -115,26 +160,27 @@ def deep_search(seeds: DataFrame, edges: DataFrame, k: int = 10, wide: int = 10,
     return every.filter(F.col("position") <= k)
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 50) -> DataFrame:
+@scratched
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 50, *, keep: Scratch) -> DataFrame:
     """edges(source, target, weight), seeds(id, p) -> id, rank. Dangling mass returns to the seeds."""
     if not 0 < alpha < 1:
         raise ValueError("alpha lies between 0 and 1")
     e = edges.filter("weight > 0").groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     out = e.groupBy("source").agg(F.sum("weight").alias("out"))
-    e = stored(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")))
+    e = keep(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")))
     if not seeds.filter("p < 0").isEmpty():
         raise ValueError("a seed is negative")
     total = seeds.filter("p > 0").agg(F.sum("p")).first()[0]
     if not total:
         raise ValueError("the seeds sum to nothing")
     ids = e.select(F.col("source").alias("id")).union(e.select("target")).union(seeds.select("id")).distinct()
-    p = stored(ids.join(seeds.groupBy("id").agg((F.sum("p") / total).alias("p")), "id", "left").join(out.select(F.col("source").alias("id"), F.lit(1).alias("flows")), "id", "left").fillna(0, ["p", "flows"]))
+    p = keep(ids.join(seeds.groupBy("id").agg((F.sum("p") / total).alias("p")), "id", "left").join(out.select(F.col("source").alias("id"), F.lit(1).alias("flows")), "id", "left").fillna(0, ["p", "flows"]))
     rank = p.select("id", "p", "flows", F.col("p").alias("rank"))
-    for _ in range(rounds):
+    for number in range(rounds):
         lost = rank.filter("flows = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         sent = rank.select(F.col("id").alias("source"), "rank").join(e, "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p")) + (1 - alpha) * F.col("p")
-        step = stored(rank.join(sent, "id", "left").select("id", "p", "flows", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        step = keep.round(rank.join(sent, "id", "left").select("id", "p", "flows", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), number)
         moved = step.agg(F.sum("change")).first()[0] or 0.0
         rank = step.drop("change")
         if moved < tolerance:
@@ -167,16 +213,11 @@ def valid_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter(" and ".join(f"coalesce(cast({c} as string), '') <> ''" for c in ("id", "label", "file_type", "source_file")))
 
 
-def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Shallow merge by key: a new field wins where it is not null; a map column is merged entry by entry."""
-    o, n = old.alias("o"), new.alias("n")
-    maps = {f.name for f in old.schema.fields if f.dataType.typeName() == "map"}
+def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Shallow merge by key: a new field wins where it is not null; a map column is merged entry by entry.
 
-    def merged(c: str) -> F.Column:
-        both = F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
-        if c in maps:
-            kept = F.map_filter(F.col(f"o.{c}"), lambda k, _: ~F.coalesce(F.map_contains_key(F.col(f"n.{c}"), k), F.lit(False)))
-            both = F.when(F.col(f"n.{c}").isNotNull() & F.col(f"o.{c}").isNotNull(), F.map_concat(kept, F.col(f"n.{c}"))).otherwise(both)
-        return both.alias(c)
-
-    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*[merged(c) for c in old.columns])
+    Several new rows of one key are merged one over the other in `order`, a column of the new side alone.
+    """
+    maps = {f.name for f in old.schema.fields if f.dataType.typeName() == "map"}
+    n = _folded(new, [key], order, old.columns, maps)
+    return _merged(old, n, F.col(f"o.{key}") == F.col(f"n.{key}"), old.columns, maps)

@@ -111,18 +111,48 @@ def contradictions(nodes: DataFrame, least: float = 0.9) -> DataFrame:
     return x.select(F.when(older, F.col("b")).otherwise(F.col("a")).alias("kept"), F.when(older, F.col("a")).otherwise(F.col("b")).alias("demoted"))
 
 
-def forget_plan(nodes: DataFrame, now: Column, base: float = 0.5) -> DataFrame:
-    """nodes(id, tier, is_latest, forget_after, at, accesses) -> id, action: delete what is due, demote what is old and frozen, else keep."""
-    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(F.coalesce("at", now))) / 86.4e9)
-    band = retention_band(retention(age, F.col("accesses"), F.lit(0.0), base))
-    action = F.when(F.coalesce(F.col("forget_after") <= now, F.lit(False)), "delete").when((age >= 30) & (band == "frozen"), "demote").otherwise("keep")
-    return nodes.filter("tier <> 'observation' and is_latest").select("id", action.alias("action"))
+def forget_plan(nodes: DataFrame, now: Column, base: float = 0.5, band: str = "frozen", contradicting: bool = True) -> DataFrame:
+    """nodes(id, tier, is_latest, forget_after, at, accesses) -> id, action, reason, against: delete what is due, demote what is old and frozen, else keep.
+
+    band `cold` demotes cold memories too. A missing is_latest counts as live. Where the nodes have text and concepts, what is kept is
+    searched for contradictions: the older of a pair is demoted, once for each pair (against names the newer).
+    """
+    at = F.coalesce("at", now)
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(at)) / 86.4e9)
+    weak = retention_band(retention(age, F.col("accesses"), F.lit(0.0), base)).isin("frozen", *(["cold"] if band == "cold" else []))
+    action = F.when(F.coalesce(F.col("forget_after") <= now, F.lit(False)), "delete").when((age >= 30) & weak, "demote").otherwise("keep")
+    reason = F.when(action == "delete", "ttl_expired").when(action == "demote", "retention_frozen")
+    live = nodes.filter((F.col("tier") != "observation") & F.coalesce("is_latest", F.lit(True)))
+    plan = live.select("id", action.alias("action"), reason.alias("reason"), F.lit(None).cast(nodes.schema["id"].dataType).alias("against"))
+    if not contradicting or not {"text", "concepts"} <= set(nodes.columns):
+        return plan
+    kept = live.filter(action == "keep").select("id", "text", "concepts", at.alias("at"))
+    pairs = contradictions(kept).select(F.col("demoted").alias("id"), F.lit("demote").alias("action"), F.lit("contradiction").alias("reason"), F.col("kept").alias("against"))
+    return plan.join(pairs.select("id").distinct(), "id", "left_anti").unionByName(pairs)
+
+
+def forget_stats(nodes: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row: nodes inspected, those with a tier that are live, deletes, demotes, contradictions."""
+    n = nodes.agg(F.count("*").alias("inspected")).withColumn("one", F.lit(1))
+    count = lambda c: F.count_if(c)
+    p = plan.agg(F.count_distinct("id").alias("tiered"), count(F.col("action") == "delete").alias("deletes"), count(F.col("action") == "demote").alias("demotes"), count(F.coalesce(F.col("reason") == "contradiction", F.lit(False))).alias("contradictions"))
+    return n.join(F.broadcast(p.withColumn("one", F.lit(1))), "one").drop("one")  # one row each
 
 
 def apply_forget_plan(nodes: DataFrame, plan: DataFrame) -> DataFrame:
     """Nodes without the deleted, the demoted no longer the latest."""
-    x = nodes.join(plan.select("id", "action"), "id", "left")
-    return x.filter("action is null or action <> 'delete'").withColumn("is_latest", F.when(F.col("action") == "demote", False).otherwise(F.col("is_latest"))).drop("action")
+    p = plan.groupBy("id").agg(F.bool_or(F.col("action") == "delete").alias("delete_"), F.bool_or(F.col("action") == "demote").alias("demote_"))
+    x = nodes.join(p, "id", "left")
+    return x.filter(~F.coalesce("delete_", F.lit(False))).withColumn("is_latest", F.when(F.coalesce("demote_", F.lit(False)), False).otherwise(F.col("is_latest"))).drop("delete_", "demote_")
+
+
+def forget_rest(edges: DataFrame, vectors: DataFrame, nodes: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What else a plan changes: edges and vectors(id) without the deleted nodes, and errors(id, message) for items whose node is not there."""
+    gone = plan.filter("action = 'delete'").select("id").distinct()
+    rest = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select(*edges.columns)
+    lost = plan.filter("action <> 'keep'").join(nodes.select("id"), "id", "left_anti")
+    message = F.when(F.col("action") == "demote", "node missing at demote time").otherwise("delete failed: node missing")
+    return rest, vectors.join(gone, "id", "left_anti"), lost.select("id", message.alias("message"))
 
 
 def session_retention(nodes: DataFrame, signal: Column, cutoff: Column, prefix: str = "session://") -> DataFrame:

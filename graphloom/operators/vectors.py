@@ -31,7 +31,7 @@ def hamming(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def _usable(df: DataFrame, ident: str) -> DataFrame:
     vector = F.col("vector").cast("array<double>")
-    return df.select(F.col(ident).cast("long").alias("id"), vector.alias("vector")).filter(F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False)))
+    return df.select(F.col(ident).cast("long").alias("id"), vector.alias("vector")).filter(F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)))
 
 
 def search(queries: DataFrame, vectors: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int | None = None, within: float | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def search(queries: DataFrame, vectors: DataFrame, measure: Callable[[np.ndarray
     Queries are cut into blocks, vectors into parts by hash; each block meets each part in one task, which
     holds the block alone and keeps a running best k by (distance rounded to 6 places, vec_id), so ties do
     not depend on the order of rows. Only what is kept is shuffled again. Null vectors, vectors with a null
-    or NaN component and pairs of different length are left out; nothing passes the driver but two counts.
+    or non-finite component and pairs of different length are left out; nothing passes the driver but two counts.
     """
     q, v = _usable(queries, "query_id"), _usable(vectors, "vec_id")
     blocks, parts = max(1, -(-q.count() // BLOCK)), max(1, -(-v.count() // PART))

@@ -142,21 +142,28 @@ def contradicting(spark: SparkSession, d: str) -> DataFrame:
     return memory.contradictions(read(spark, d, "documents").select(i.alias("id"), "text", F.array(F.lit("all"), (i % 3).cast("string")).alias("concepts"), ((i * 7) % 101).alias("at")))
 
 
-PLAN = f"""f AS (SELECT event_id AS id, event_type AS tier, event_id % 17 <> 0 AS is_latest, CASE WHEN event_id % 19 = 0 THEN ts + INTERVAL 10 DAY END AS forget_after, ts - INTERVAL 1 DAY * (event_id % 400) AS since, event_id % 4 AS accesses FROM events),
+PLAN = f"""f AS (SELECT event_id AS id, event_type AS tier, CASE WHEN event_id % 23 > 0 THEN event_id % 17 <> 0 END AS is_latest, CASE WHEN event_id % 19 = 0 THEN ts + INTERVAL 10 DAY END AS forget_after, ts - INTERVAL 1 DAY * (event_id % 400) AS since, event_id % 4 AS accesses FROM events),
 g AS (SELECT *, greatest(0, (epoch_us({NOW}) - epoch_us(since)) / 86.4e9) AS age FROM f),
-plan AS (SELECT id, CASE WHEN coalesce(forget_after <= {NOW}, false) THEN 'delete' WHEN age >= 30 AND least(1, 0.5 + least(0.2, 0.02 * accesses)) * exp(-0.01 * age) < 0.15 THEN 'demote' ELSE 'keep' END AS action FROM g WHERE tier <> 'view' AND is_latest)"""
+plan AS (SELECT id, CASE WHEN coalesce(forget_after <= {NOW}, false) THEN 'delete' WHEN age >= 30 AND least(1, 0.5 + least(0.2, 0.02 * accesses)) * exp(-0.01 * age) < 0.15 THEN 'demote' ELSE 'keep' END AS action FROM g WHERE tier <> 'view' AND coalesce(is_latest, true))"""
 
 
 def memories(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - 86_400_000_000 * (i % 400))
     tier = F.when(F.col("event_type") == "view", "observation").otherwise(F.col("event_type"))
-    return read(spark, d, "events").select(i.alias("id"), tier.alias("tier"), (i % 17 != 0).alias("is_latest"), F.when(i % 19 == 0, F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + 864_000_000_000)).alias("forget_after"), at.alias("at"), (i % 4).alias("accesses"))
+    return read(spark, d, "events").select(i.alias("id"), tier.alias("tier"), F.when(i % 23 > 0, i % 17 != 0).alias("is_latest"), F.when(i % 19 == 0, F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + 864_000_000_000)).alias("forget_after"), at.alias("at"), (i % 4).alias("accesses"))
 
 
-@query("forget_plan", f"WITH {PLAN} SELECT id, action FROM plan")
+@query("forget_plan", f"WITH {PLAN} SELECT id, action, CASE action WHEN 'delete' THEN 'ttl_expired' WHEN 'demote' THEN 'retention_frozen' END AS reason FROM plan")
 def plan(spark: SparkSession, d: str) -> DataFrame:
-    return memory.forget_plan(memories(spark, d), now())
+    """Some rows do not say whether they are the latest: these are live."""
+    return memory.forget_plan(memories(spark, d), now()).drop("against")
+
+
+@query("forget_stats", f"WITH {PLAN} SELECT (SELECT count(*) FROM f) AS inspected, count(*) AS tiered, count(*) FILTER (action = 'delete') AS deletes, count(*) FILTER (action = 'demote') AS demotes, CAST(0 AS BIGINT) AS contradictions FROM plan")
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    m = memories(spark, d)
+    return memory.forget_stats(m, memory.forget_plan(m, now()))
 
 
 @query("apply_forget_plan", f"WITH {PLAN} SELECT f.id, CASE WHEN action = 'demote' THEN false ELSE is_latest END AS is_latest FROM f LEFT JOIN plan USING (id) WHERE action IS DISTINCT FROM 'delete'")

@@ -22,14 +22,12 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 SELECT date_trunc('hour', ts) + INTERVAL 10 MINUTE * (CAST(date_part('minute', ts) AS INTEGER) // 10 - k) AS start, event_type, count(*) AS n FROM events, range(0, 6) r(k) GROUP BY ALL""")
 def counts(spark: SparkSession, d: str) -> DataFrame:
     """Sliding hours, every ten minutes."""
-    e = streaming.follow(spark, events(spark, d).select("ts", "event_type"))
-    return streaming.run_once(streaming.event_counts(e, "1 hour", "10 minutes"), "update", ["start", "event_type"])
+    return streaming.drained(events(spark, d).select("ts", "event_type"), lambda e: streaming.event_counts(e, "1 hour", "10 minutes"), "update", ["start", "event_type"])
 
 
 @query("reputation_stream", f"WITH {SCORES} SELECT * FROM scores")
 def reputation(spark: SparkSession, d: str) -> DataFrame:
-    r = streaming.follow(spark, reviews(spark, d))
-    return streaming.run_once(telemetry.peer_scores(r), "update", ["subject", "peer"])
+    return streaming.drained(reviews(spark, d), telemetry.peer_scores, "update", ["subject", "peer"])
 
 
 @query("first_responses", """
@@ -37,7 +35,7 @@ SELECT DISTINCT event_id // 6 AS request_id, user_id AS peer_id FROM events WHER
 def first(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     a = events(spark, d).select(F.floor(i / 6).alias("request_id"), F.col("user_id").alias("peer_id"), F.col("ts").alias("issued_at"), F.timestamp_micros(F.unix_micros("ts") + 1000 * ((i * 37) % 500)).alias("ts"))
-    return streaming.run_once(streaming.first_responses(streaming.follow(spark, a), "60 days"), "append").select("request_id", "peer_id")
+    return streaming.drained(a, lambda s: streaming.first_responses(s, "60 days"), "append").select("request_id", "peer_id")
 
 
 @query("debounced_batches", """
@@ -48,20 +46,20 @@ def debounced(spark: SparkSession, d: str) -> DataFrame:
     c = events(spark, d).select((F.col("user_id") % 5).alias("root"), F.concat(F.lit("p"), (F.col("event_id") % 12).cast("string")).alias("path"), "ts")
     last = c.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("root"), F.lit("end").alias("path"), (F.col("ts") + F.expr("interval 3 days")).alias("ts"))
     # a session leaves, and its state with it, once the watermark has passed it: a last row of no root moves it on
-    out = streaming.run_once(streaming.debounced(streaming.follow(spark, c.unionByName(last)), "2 hours", "1 day"), "append").filter("root >= 0")
+    out = streaming.drained(c.unionByName(last), lambda s: streaming.debounced(s, "2 hours", "1 day"), "append").filter("root >= 0")
     return out.select("root", "start", F.array_join("paths", ",").alias("paths"))
 
 
 @query("chunk_stream")
 def chunked(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source_uri"), F.col("source").alias("title"), "text")
-    return streaming.run_once(streaming.chunk_stream(streaming.follow(spark, x)), "append")
+    return streaming.drained(x, streaming.chunk_stream, "append")
 
 
 @query("token_bucket_stream", BUCKET)
 def buckets(spark: SparkSession, d: str) -> DataFrame:
     r = events(spark, d).select(F.col("user_id").alias("peer"), F.col("event_id").alias("id"), "ts")
-    return streaming.run_once(state.token_bucket_stream(streaming.follow(spark, r), 1 / 40_000, 2, 200_000, "60 days"), "append")
+    return streaming.drained(r, lambda s: state.token_bucket_stream(s, 1 / 40_000, 2, 200_000, "60 days"), "append")
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -77,4 +75,4 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, sour
 SELECT vec_id % 8 AS workspace, vec_id AS query_id, source, sim FROM v LEFT JOIN b ON b.query_id = v.vec_id AND n = 1""")
 def recent(spark: SparkSession, d: str) -> DataFrame:
     """Every query stays an entry, so that SQL can say which one answers; test_state.py replays the cache of missed queries."""
-    return streaming.run_once(state.recent_reuse_stream(streaming.follow(spark, asked(spark, d)), 400.0, 0.35, True, "60 days"), "append")
+    return streaming.drained(asked(spark, d), lambda s: state.recent_reuse_stream(s, 400.0, 0.35, True, "60 days"), "append")

@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.frames import shared_folder
+from graphloom.frames import Scratch, shared_folder, stored
 from graphloom.operators import ingest
 
 
-def follow(spark: SparkSession, table: DataFrame, files: int | None = None) -> DataFrame:
+def drained(table: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None = None, files: int | None = None) -> DataFrame:
+    """job over a table as a stream until it ends; what was landed and the stream's state are deleted, the result is stored."""
+    with Scratch(table.sparkSession) as keep:
+        return stored(run_once(job(follow(table.sparkSession, table, files, keep.folder)), mode, keys, keep.folder))
+
+
+def follow(spark: SparkSession, table: DataFrame, files: int | None = None, under: str | None = None) -> DataFrame:
     """A stored table as a stream of its files, so many at a time."""
-    folder = f"{shared_folder(spark)}/landed-{uuid.uuid4()}"
+    folder = f"{under or shared_folder(spark)}/landed-{uuid.uuid4()}"
     table.write.parquet(folder)
     reader = spark.readStream.schema(table.schema)
     return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(folder)
 
 
-def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None, under: str | None = None) -> DataFrame:
     """What the stream gives until its input ends; with keys, the last version of each."""
-    spark, folder = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4()}"
+    spark, folder = stream.sparkSession, f"{under or shared_folder(stream.sparkSession)}/stream-{uuid.uuid4()}"
     put = lambda rows, number: rows.withColumn("batch_", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch_", LongType())])).parquet(f"{folder}/rows")
