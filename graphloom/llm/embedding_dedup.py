@@ -229,7 +229,7 @@ def _near_duplicates(vectors: DataFrame, threshold: float, tables: int | None, p
 
     found = keep(work.select("bucket", "low", "high", "own", "node", "copies", "vector").mapInArrow(verified, "node long, links long, near long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    comps = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
+    comps = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")), keep=keep)
     nodes = v.groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).filter("node is not null")
     nodes = nodes.join(links, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = keep(nodes)

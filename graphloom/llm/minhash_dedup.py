@@ -79,7 +79,7 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """HASHES minima of multiply-and-xor hashes, 32 bits each."""
+    """HASHES minima of multiplicative hashes, 32 bits each."""
     rng = np.random.default_rng(11)
     factors = rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.full(HASHES, 2**32 - 1, np.uint32)
@@ -209,7 +209,7 @@ def _dealt(met: DataFrame, parts: DataFrame, n: int, *columns: str) -> DataFrame
     return work.repartition(n, "top", "part").sortWithinPartitions("top", "part", "asks", "node")
 
 
-def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
     """Links (a, b) between different components that share a region too large for the window.
 
     Each document outside the largest component of its region meets all documents of the region; regions
@@ -308,26 +308,25 @@ def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width:
                     found_b.append(max(ids_[k], ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
-    with Scratch(spark) as keep:
-        regions = nodes.select("node", "sig").mapInArrow(keyed, "node long, region long")
-        crowded = regions.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > WINDOW + 1)
-        rows = keep(regions.join(crowded, "region").join(comps, "node", "left").select("region", "node", F.coalesce("component", "node").alias("comp")))
-        tops = rows.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
-        met = keep(rows.join(tops.filter("comps > 1"), "region").select("top", "node", "comp", (F.col("comp") != F.col("top")).alias("asks")).distinct())
-        known = nodes.select("node", "n_shingles", F.col("stands.id").alias("id"), F.col("stands.th").alias("th"), *(["counts"] if "counts" in nodes.columns else []))
-        if "counts" not in nodes.columns:
-            known = known.join(source.select("id", "th", "text").mapInArrow(counted, "id long, th long, counts binary").dropDuplicates(["id", "th"]), ["id", "th"])
-        parts = met.groupBy("top").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("parts"))
-        work = _dealt(met.join(known.select("node", "n_shingles", "counts"), "node"), parts, n, "comp", "n_shingles", "counts")
-        live = keep(work.mapInArrow(able, "top long, node long").distinct())
-        live = keep(live.join(met, ["top", "node"]).join(known.select("node", "n_shingles", "id", "th"), "node"))
-        parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
-        # a document is in one region of each tree, so the list stays short
-        spots = live.groupBy("id", "th", "node", "comp").agg(F.collect_list(F.struct("top", "asks")).alias("spots"))
-        texts = source.join(spots, ["id", "th"]).dropDuplicates(["id", "th"])
-        full = texts.select("node", "comp", "text", F.explode("spots").alias("s")).select("s.top", "node", "s.asks", "comp", "text")
-        links = _dealt(full, live.groupBy("top").agg(parts), n, "comp", "text").mapInArrow(compared, "a long, b long").distinct()
-        return stored(links)
+    regions = nodes.select("node", "sig").mapInArrow(keyed, "node long, region long")
+    crowded = regions.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > WINDOW + 1)
+    rows = keep(regions.join(crowded, "region").join(comps, "node", "left").select("region", "node", F.coalesce("component", "node").alias("comp")))
+    tops = rows.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    met = keep(rows.join(tops.filter("comps > 1"), "region").select("top", "node", "comp", (F.col("comp") != F.col("top")).alias("asks")).distinct())
+    known = nodes.select("node", "n_shingles", F.col("stands.id").alias("id"), F.col("stands.th").alias("th"), *(["counts"] if "counts" in nodes.columns else []))
+    if "counts" not in nodes.columns:
+        known = known.join(source.select("id", "th", "text").mapInArrow(counted, "id long, th long, counts binary").dropDuplicates(["id", "th"]), ["id", "th"])
+    parts = met.groupBy("top").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("parts"))
+    work = _dealt(met.join(known.select("node", "n_shingles", "counts"), "node"), parts, n, "comp", "n_shingles", "counts")
+    live = keep(work.mapInArrow(able, "top long, node long").distinct())
+    live = keep(live.join(met, ["top", "node"]).join(known.select("node", "n_shingles", "id", "th"), "node"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    # a document is in one region of each tree, so the list stays short
+    spots = live.groupBy("id", "th", "node", "comp").agg(F.collect_list(F.struct("top", "asks")).alias("spots"))
+    texts = source.join(spots, ["id", "th"]).dropDuplicates(["id", "th"])
+    full = texts.select("node", "comp", "text", F.explode("spots").alias("s")).select("s.top", "node", "s.asks", "comp", "text")
+    links = _dealt(full, live.groupBy("top").agg(parts), n, "comp", "text").mapInArrow(compared, "a long, b long").distinct()
+    return keep(links)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -375,7 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keyed: b
         texts = keep(source.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "text"))
         links, turn = pairs.select("a", "b").limit(0), 0
         while True:  # until no pair is left between the components of the links confirmed so far
-            comps = components(links)
+            comps = components(links, keep=keep)
             at = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))  # noqa: E731, B023
             apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
             pairs = keep(apart.select("a", "b", "alike"))
@@ -388,9 +387,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keyed: b
             links = keep(links.unionByName(confirm(ask, texts, width, percent)))
             pairs = pairs.join(ask, ["a", "b"], "left_anti")
             turn += 1
-        caught = crowded_links(nodes, comps, source, width, percent)
+        caught = crowded_links(nodes, comps, source, width, percent, keep)
         if not caught.isEmpty():
-            comps = components(links.unionByName(caught))
+            comps = components(links.unionByName(caught), keep=keep)
         placed = keep(nodes.select("node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
         ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
         by_node = placed.join(ids, "component").select(F.col("node").alias("of"), "component_id", "component")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.frames import pick, read, stored
+from graphloom.frames import Scratch, pick, read, scratched
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the key that name a range within a source.
@@ -30,7 +30,7 @@ def targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     stops at max_epochs times the source's size and the excess is shared again by weight. With
     sources ordered by cap / weight, the capped ones are a prefix: source i is capped when the
     level, (total - caps before it) / (weights from it on), reaches its own cap / weight.
-    The windows run over one row per source, without partitions: sources are few beside documents.
+    The windows run over one row per source, without partitions: for a million sources some 50 MB in one task.
     """
     ranked = sources.withColumn("weight", 1 + (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3)
     all_rows = Window.partitionBy()
@@ -50,7 +50,8 @@ def mix(docs: DataFrame, max_epochs: int = 3) -> DataFrame:
     return mix_keyed(docs, max_epochs).drop("tie")
 
 
-def mix_keyed(docs: DataFrame, max_epochs: int = 3) -> DataFrame:
+@scratched
+def mix_keyed(docs: DataFrame, max_epochs: int = 3, *, keep: Scratch) -> DataFrame:
     """As mix(), and tie, the hash of the text, which with doc_id names the row.
 
     taken counts words, repeats included: floor(target / source_size) whole epochs, then documents
@@ -63,7 +64,7 @@ def mix_keyed(docs: DataFrame, max_epochs: int = 3) -> DataFrame:
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
         F.xxhash64("text").alias("tie"),
     )
-    rows = stored(rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS)))
+    rows = keep(rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS)))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))

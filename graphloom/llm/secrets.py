@@ -20,6 +20,7 @@ every candidate is one with score 1; an empty table gives an empty one; extra co
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
 import re
 import zlib
@@ -33,7 +34,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.frames import pick, read, stored
+from graphloom.frames import Scratch, pick, read, scratched
 
 FINDINGS, DICTIONARY, HASHED, SHORTEST = 20_000, 500, 16, 6
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{15,}")
@@ -42,8 +43,11 @@ _NAMED = re.compile(
     r"(?:token|secret(?:[_-]?key)?|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)[\"']?\s*(?::=|=>|=|:)\s*"
     rf"(?:\"(?P<double>[^\s\"]{{{SHORTEST},}})\"|'(?P<single>[^\s']{{{SHORTEST},}})'|(?P<bare>\S{{{SHORTEST - 1},}}[^\s.,;:\"']))", re.IGNORECASE,
 )
-#: Formats that are secrets of their own: private key blocks, signed web tokens.
-_VENDOR = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----.{16,8192}?-----END [A-Z ]{0,32}PRIVATE KEY-----|(?<![\w.-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", re.DOTALL)
+#: Formats that are secrets of their own: signed web tokens, and private key blocks, whose marks are found on their own.
+_SIGNED = re.compile(r"(?<![\w.-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}")
+_BEGIN, _END = (re.compile(rf"-----{mark} [A-Z ]{{0,32}}PRIVATE KEY-----") for mark in ("BEGIN", "END"))
+#: Characters between the marks of a key block, at least.
+LEAST_KEY = 16
 _NEAR = re.compile(r"[^\W_]+")
 _LOWER = re.compile(r"[a-z]{3,}")
 
@@ -95,6 +99,18 @@ def _slot(word: str) -> int:
     return zlib.crc32(word.lower().encode()) % HASHED
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Private key blocks of any length: each first mark with the next end mark that leaves room for a key; none overlap."""
+    out, done, ends = [], 0, [m.span() for m in _END.finditer(text)]
+    starts = [e[0] for e in ends]
+    for m in _BEGIN.finditer(text):
+        k = bisect.bisect_left(starts, m.end() + LEAST_KEY)
+        if m.start() >= done and k < len(ends):
+            done = ends[k][1]
+            out.append((m.start(), done))
+    return out
+
+
 def spans(text: str) -> list[tuple[int, int, bool]]:
     """Start, end, whether assigned to a secret name, of the candidates of a text; none overlap."""
     out, names = [], []
@@ -102,7 +118,15 @@ def spans(text: str) -> list[tuple[int, int, bool]]:
         start, end = m.span(m.lastgroup)
         out.append((start, end, True))
         names.append((m.start(), end))
-    for m in _VENDOR.finditer(text):
+    blocks = key_blocks(text)
+    if blocks:  # a block is one candidate, whatever stands inside it; one that begins inside an assigned value is that value's
+        inside = lambda at: (k := bisect.bisect(blocks, (at, len(text) + 1))) > 0 and blocks[k - 1][1] > at
+        held = [n for n in names if not inside(n[0])]
+        blocks = [b for b in blocks if (k := bisect.bisect(held, b)) == 0 or held[k - 1][1] <= b[0]]
+        gone = {n[1] for n in names} - {n[1] for n in held}
+        out = [c for c in out if c[1] not in gone] + [(*b, True) for b in blocks]
+        names = sorted([*held, *blocks])
+    for m in _SIGNED.finditer(text):
         k = bisect.bisect(names, m.span())
         if (k == 0 or names[k - 1][1] <= m.start()) and (k == len(names) or names[k][0] >= m.end()):
             out.append((*m.span(), True))
@@ -123,7 +147,10 @@ def spans(text: str) -> list[tuple[int, int, bool]]:
 
 
 def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
-    """docs(doc_id, text, source, th) -> doc_id, th, start, length, secret, features, named (null: not known)."""
+    """docs(doc_id, text, source, th) -> doc_id, th, start, length, digest, features, named (null: not known).
+
+    A candidate leaves the task as its place and its digest; its characters stay in the text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(set(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,26 +171,27 @@ def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
                         path = np.zeros(HASHED)
                         path[_slot(source or "")] = 1
                         f = [*_shape(s), _covered(s, known), *path, *near]
-                        rows.append({"doc_id": doc_id, "th": th, "start": start, "length": len(s), "secret": s, "features": f, "named": (True if f[7] > 0 or f[3] > 0.1 else None) if named else False})
+                        rows.append({"doc_id": doc_id, "th": th, "start": start, "length": len(s), "digest": hashlib.sha256(s.encode()).hexdigest(), "features": f, "named": (True if f[7] > 0 or f[3] > 0.1 else None) if named else False})
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    return docs.select("doc_id", "text", "source", "th").mapInArrow(run, "doc_id long, th long, start long, length long, secret string, features array<double>, named boolean")
+    return docs.select("doc_id", "text", "source", "th").mapInArrow(run, "doc_id long, th long, start long, length long, digest string, features array<double>, named boolean")
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("secret", pa.string()), ("features", pa.list_(pa.float64())), ("named", pa.bool_())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("digest", pa.string()), ("features", pa.list_(pa.float64())), ("named", pa.bool_())])
 
 
-def judge(found: DataFrame, labelled: DataFrame) -> DataFrame:
+@scratched
+def judge(found: DataFrame, labelled: DataFrame, *, keep: Scratch) -> DataFrame:
     """found(features, ...) and labelled(features, label 0/1) -> found with score and is_secret."""
     kinds = labelled.filter("label is not null").groupBy("features", "label").agg(F.count("*").cast("double").alias("weight"))
-    kinds = stored(kinds)
+    kinds = keep(kinds)
     counts = {r["label"]: r["n"] for r in kinds.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     no, yes = counts.get(0, 0), counts.get(1, 0)
     part = {0: max(FINDINGS // 2, FINDINGS - yes) / max(no, 1), 1: max(FINDINGS // 2, FINDINGS - no) / max(yes, 1)}
     key = F.pmod(F.xxhash64("features"), F.lit(1 << 30)) / (1 << 30)
     # what is left out of a label counts in the weight of what is taken, so the odds stay those of all findings
     share = F.when(F.col("label") == 1, min(1.0, part[1])).otherwise(min(1.0, part[0]))
-    train = stored(kinds.filter(key < share).withColumn("weight", F.col("weight") / share))
+    train = keep(kinds.filter(key < share).withColumn("weight", F.col("weight") / share))
     taken = {r["label"] for r in train.select("label").distinct().collect()}  # two rows
     if taken != {0, 1}:
         only = float(taken == {1})
@@ -175,11 +203,22 @@ def judge(found: DataFrame, labelled: DataFrame) -> DataFrame:
     return out.withColumn("score", score).withColumn("is_secret", F.col("score") >= 0.5).drop("vector", "chance", "rawPrediction", "prediction")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", F.xxhash64("text").alias("th"))
+
+
+@scratched
+def verdicts(docs: DataFrame, *, keep: Scratch) -> DataFrame:
+    """docs(doc_id, text, source) -> each candidate's doc_id, th (hash of its text), start, length, digest, features, named, score, is_secret; no secret in plain text."""
+    d = _keyed(docs)
+    found = keep(candidates(d, dictionary(d)))
+    return judge(found, found.select("features", F.col("named").cast("int").alias("label")), keep=keep)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source) -> each candidate with its text hash, place, score and verdict."""
-    d = pick(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", F.xxhash64("text").alias("th"))
-    found = stored(candidates(d, dictionary(d)))
-    return judge(found, found.select("features", F.col("named").cast("int").alias("label")))
+    """verdicts() and the secret itself, cut from the text when the result is read."""
+    texts = _keyed(docs).select("th", "text").dropDuplicates(["th"])
+    return verdicts(docs).join(texts, "th").withColumn("secret", F.col("text").substr(F.col("start") + 1, F.col("length"))).drop("text")
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
@@ -187,10 +226,11 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
 
     A secret goes wherever it stands in its text; one of letters alone only as a whole word.
     """
-    bad = scan(docs).filter("is_secret").select("th", "secret").distinct().groupBy("th").agg(F.collect_set("secret").alias("bad_"))
+    bad = verdicts(docs).filter("is_secret").groupBy("th").agg(F.collect_set(F.struct("start", "length")).alias("at_"))
     columns = docs.columns
     keyed = docs.withColumn("th_", F.xxhash64("text"))
     out = keyed.join(bad.withColumnRenamed("th", "th_"), "th_", "left")
+    out = out.withColumn("bad_", F.array_distinct(F.transform("at_", lambda a: F.col("text").substr(a["start"] + 1, a["length"]))))
     clean = F.expr(f"case when bad_ is null then text else aggregate(array_sort(bad_, (x, y) -> length(y) - length(x)), text, (t, s) -> if(s rlike '^[A-Za-z]+$', regexp_replace(t, concat('(?<![A-Za-z])', s, '(?![A-Za-z])'), '{mark}'), replace(t, s, '{mark}'))) end")
     out = out.withColumn("text", clean)
     if "n_chars" in columns:
@@ -200,5 +240,5 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document; secrets are named by their digest only."""
-    out = scan(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 6).alias("score"), "is_secret")
+    out = verdicts(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.col("digest").alias("secret_sha256"), F.round("score", 6).alias("score"), "is_secret")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.frames import pick, read, stored
+from graphloom.frames import Scratch, pick, read
 
 ORDER, DISCOUNT, MARGIN, LENGTH = 4, 0.75, 2.0, 0.7
 #: Rows that fit the logistic curve, at most about so many (a hash of the doc_id chooses them).
@@ -181,7 +181,7 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class ToxicityModel:
-    """Counts from folds 1 to 3 of the labelled rows, curve from fold 4; fold 0 is never read."""
+    """Class counts from folds 1 to 3 of the labelled rows, curve from fold 4. No label of fold 0 is read; the shared backoff counts cover all texts."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -190,7 +190,8 @@ class ToxicityModel:
         # a merge join at every size, so that disk grows in proportion and no label table is broadcast
         seen = d.hint("merge").join(known.filter(fold() != 4), "doc_id", "left").select("text", F.col("toxic").alias("class"))
         self.sc = docs.sparkSession.sparkContext
-        self.tab = tables(stored(vocabulary(seen)))
+        with Scratch(docs.sparkSession) as keep:
+            self.tab = tables(keep(vocabulary(seen)))
         later = known.filter(fold() == 4)
         n = later.count()
         if n > CURVE_ROWS:
