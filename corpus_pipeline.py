@@ -8,12 +8,10 @@ no document is toxic; empty tables give empty ones.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.frames import pick, read, shared_folder
+from graphloom.frames import Scratch, pick, read, stored
 from graphloom.llm.bpe import encode_documents
 from graphloom.llm.minhash_dedup import near_duplicates
 from graphloom.llm.mixing import WORD, mix_keyed
@@ -71,10 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage gives is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4()}"
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents; what a stage gives is written to the shared folder, read again, and deleted after the stage that reads it."""
+    with Scratch(spark) as keep:
+        docs = read(spark, sf_dir, "documents")
+        for number, (_, stage) in enumerate(STAGES[:-1]):
+            docs = keep.round(stage(spark, docs, sf_dir), number)
+        return stored(STAGES[-1][1](spark, docs, sf_dir))
