@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import jaccard_tokens
+from graphloom.operators.clusters import greedy_clusters  # noqa: F401  the step between candidates and memories
 from graphloom.operators.telemetry import retention, retention_band
 
 
@@ -161,39 +160,6 @@ def session_retention(nodes: DataFrame, signal: Column, cutoff: Column, prefix:
     return nodes.filter(~F.coalesce(old, F.lit(False)))
 
 
-def greedy_clusters(entries: DataFrame, least: float = 0.8, fewest: int = 5, most: int = 100) -> DataFrame:
-    """entries(workspace, id, at, vector) -> workspace, cluster, id, place: greedy groups in time order.
-
-    Each entry not yet taken takes the later ones within the cosine; a group too small is left (and its entry not asked
-    again), one too large keeps the most similar. A workspace is one group of work, held in memory: it is the unit the
-    order depends on, and a null one counts as ''.
-    """
-    kind = entries.schema["id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable").reset_index(drop=True)
-        x = np.stack(pdf["vector"].map(lambda v: np.asarray(v, float)).to_list())
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(norm == 0, 1, norm)
-        free, rows = np.ones(len(x), bool), []
-        for i in range(len(x)):
-            if not free[i]:
-                continue
-            later = i + 1 + np.flatnonzero(free[i + 1 :])
-            sim = x[later] @ x[i]
-            near = later[sim >= least]
-            if len(near) + 1 < fewest:
-                continue
-            if len(near) + 1 > most:
-                near = near[np.argsort(-(x[near] @ x[i]), kind="stable")[: most - 1]]
-            free[i] = free[near] = False
-            rows += [(pdf["workspace"][0], pdf["id"][i], pdf["id"][k], place) for place, k in enumerate([i, *near])]
-        return pd.DataFrame(rows, columns=["workspace", "cluster", "id", "place"])
-
-    e = entries.select(F.coalesce(F.col("workspace").cast("string"), F.lit("")).alias("workspace"), "id", "at", "vector")
-    return e.groupBy("workspace").applyInPandas(run, f"workspace string, cluster {kind}, id {kind}, place int")
-
-
 def consolidated(clusters: DataFrame, summaries: DataFrame) -> DataFrame:
     """clusters(workspace, cluster, id), summaries(workspace, cluster, summary) -> one memory a cluster: id from its content, sources sorted; blank summaries give none."""
     ids = clusters.groupBy("workspace", "cluster").agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("sources"))
@@ -201,3 +167,41 @@ def consolidated(clusters: DataFrame, summaries: DataFrame) -> DataFrame:
     ident = F.concat(F.lit("consolidated:"), F.substring(F.sha2(F.concat_ws(":", "workspace", F.array_join("sources", ","), "summary"), 256), 1, 32))
     return x.select(ident.alias("id"), "workspace", "sources", "summary")
 
+
+
+#: The kind of a node that stands for a cluster.
+MEMORY = "consolidated_memory"
+
+
+def consolidation_candidates(nodes: DataFrame, vectors: DataFrame, workspace: str | None = None) -> DataFrame:
+    """nodes(id, workspace, kind, consolidated_at, timestamp, fetched_at), vectors(id, vector) -> workspace, id, at, vector: entries for greedy_clusters().
+
+    Nodes of one workspace, or of all, that are neither consolidated nor such a memory and have a vector; without a time they are of 1970.
+    """
+    raw = nodes.filter((F.coalesce(F.col("consolidated_at").cast("string"), F.lit("")) == "") & (F.coalesce("kind", F.lit("")) != MEMORY))
+    if workspace is not None:
+        raw = raw.filter(F.col("workspace") == workspace)
+    at = F.coalesce(F.col("timestamp").cast("string"), F.col("fetched_at").cast("string"), F.lit("1970-01-01T00:00:00Z"))
+    return raw.select("workspace", "id", at.alias("at")).join(vectors.select("id", "vector"), "id").select("workspace", "id", "at", "vector")
+
+
+def mark_consolidated(nodes: DataFrame, memories: DataFrame, at: Column) -> DataFrame:
+    """Nodes with consolidated_at set for the sources of the memories(id, sources)."""
+    done = memories.select(F.explode("sources").alias("source_")).distinct().withColumn("done_", F.lit(True))
+    x = nodes.join(done, F.col("id").cast("string") == F.col("source_"), "left")
+    return x.withColumn("consolidated_at", F.when(F.col("done_"), at).otherwise(F.col("consolidated_at"))).select(*nodes.columns)
+
+
+def consolidation_status(nodes: DataFrame) -> DataFrame:
+    """nodes(workspace, kind, consolidated_at) -> per workspace raw, consolidated_raw, consolidated_memories."""
+    memory = F.coalesce("kind", F.lit("")) == MEMORY
+    done = F.coalesce(F.col("consolidated_at").cast("string"), F.lit("")) != ""
+    count = lambda c, n: F.count_if(c).alias(n)
+    return nodes.groupBy(F.coalesce("workspace", F.lit("(no workspace)")).alias("workspace")).agg(count(~memory & ~done, "raw"), count(~memory & done, "consolidated_raw"), count(memory, "consolidated_memories"))
+
+
+def consolidation_prune(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges, vectors(id) without the consolidated sources (write_prune_backup first); memories stay."""
+    gone = nodes.filter((F.coalesce(F.col("consolidated_at").cast("string"), F.lit("")) != "") & (F.coalesce("kind", F.lit("")) != MEMORY)).select("id").distinct()
+    rest = edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+    return nodes.join(gone, "id", "left_anti").select(*nodes.columns), rest.select(*edges.columns), vectors.join(gone, "id", "left_anti").select(*vectors.columns)

@@ -9,6 +9,7 @@ from graphloom.catalog import query
 from graphloom.frames import read
 from graphloom.functions.text import has_key_signal
 from graphloom.operators import evaluation, memory
+from graphloom.operators.clusters import subject_clusters
 from graphloom.plans.retrieval import DENSE, dense
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -184,3 +185,43 @@ def retained(spark: SparkSession, d: str) -> DataFrame:
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").select(F.col("label").alias("workspace"), F.col("vec_id").alias("id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
     return memory.greedy_clusters(e, 0.3, 3, 5)
+
+
+@query("subject_clusters")
+def subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as queries of three workspaces at cosine 0.4 (test_clusters.py holds the rounds against the sequential loop)."""
+    e = read(spark, d, "embeddings").select((F.col("vec_id") % 3).alias("workspace"), F.col("vec_id").alias("id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
+    return subject_clusters(e, 0.4)
+
+
+#: Vectors are nodes of the documents of their number; some are consolidated, some are memories.
+GATHERED = """n AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 > 0 THEN lang END AS workspace, CASE WHEN doc_id % 7 = 0 THEN 'consolidated_memory' WHEN doc_id % 3 = 0 THEN 'note' END AS kind, CASE WHEN doc_id % 5 = 0 THEN '2024-01-01' WHEN doc_id % 5 = 1 THEN '' END AS consolidated_at, CASE WHEN doc_id % 4 = 0 THEN '2024-01-02' END AS t1, CASE WHEN doc_id % 2 = 0 THEN '2024-01-03' END AS t2 FROM documents)"""
+
+
+def gathered(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    return read(spark, d, "documents").select(
+        i.alias("id"), F.when(i % 9 > 0, F.col("lang")).alias("workspace"), F.when(i % 7 == 0, "consolidated_memory").when(i % 3 == 0, "note").alias("kind"), F.when(i % 5 == 0, "2024-01-01").when(i % 5 == 1, "").alias("consolidated_at"),
+        F.when(i % 4 == 0, "2024-01-02").alias("timestamp"), F.when(i % 2 == 0, "2024-01-03").alias("fetched_at"),
+    )
+
+
+@query("consolidation_candidates", f"WITH {GATHERED} SELECT workspace, id, coalesce(t1, t2, '1970-01-01T00:00:00Z') AS at FROM n JOIN embeddings ON vec_id = id WHERE coalesce(consolidated_at, '') = '' AND coalesce(kind, '') <> 'consolidated_memory'")
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    return memory.consolidation_candidates(gathered(spark, d), read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))).drop("vector")
+
+
+@query("consolidation_status", f"""WITH {GATHERED}, m AS (SELECT *, coalesce(kind, '') = 'consolidated_memory' AS mem, coalesce(consolidated_at, '') <> '' AS done FROM n)
+SELECT coalesce(workspace, '(no workspace)') AS workspace, count(*) FILTER (NOT mem AND NOT done) AS raw, count(*) FILTER (NOT mem AND done) AS consolidated_raw, count(*) FILTER (mem) AS consolidated_memories FROM m GROUP BY 1""")
+def status(spark: SparkSession, d: str) -> DataFrame:
+    return memory.consolidation_status(gathered(spark, d))
+
+
+@query("consolidation_prune", f"""WITH {GATHERED}, gone AS (SELECT id FROM n WHERE coalesce(consolidated_at, '') <> '' AND coalesce(kind, '') <> 'consolidated_memory')
+SELECT 'node' AS part, id, CAST(NULL AS BIGINT) AS other FROM n WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'vector', vec_id, NULL FROM embeddings WHERE vec_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'edge', doc_id, doc_id + 3 FROM documents WHERE doc_id NOT IN (SELECT id FROM gone) AND doc_id + 3 NOT IN (SELECT id FROM gone)""")
+def pruned(spark: SparkSession, d: str) -> DataFrame:
+    n = gathered(spark, d)
+    nodes, edges, vectors = memory.consolidation_prune(n, n.select(F.col("id").alias("source"), (F.col("id") + 3).alias("target")), read(spark, d, "embeddings").select(F.col("vec_id").alias("id")))
+    none = F.lit(None).cast("long").alias("other")
+    return nodes.select(F.lit("node").alias("part"), "id", none).unionByName(vectors.select(F.lit("vector").alias("part"), "id", none)).unionByName(edges.select(F.lit("edge").alias("part"), F.col("source").alias("id"), F.col("target").alias("other")))
