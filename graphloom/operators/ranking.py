@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.frames import sound
-from graphloom.operators.vectors import search
+from graphloom.operators.vectors import best, l2, search
 
 
 def _placed(df: DataFrame, *order: Column) -> DataFrame:
@@ -179,8 +179,6 @@ def semantic_reuse(queries: DataFrame, ttl: float, threshold: float) -> DataFram
 
 def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """vectors(vec_id, vector) -> pairs a < b within an L2 distance, by blocks of all against all."""
-    from graphloom.operators.vectors import l2
-
     found = search(vectors.select(F.col("vec_id").alias("query_id"), "vector"), vectors, l2, within=threshold)
     return found.filter("query_id < vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "distance")
 
@@ -198,3 +196,32 @@ def rrf_sweep(dense: DataFrame, sparse: DataFrame, qrels: DataFrame, ks: list[in
     per = x.join(rel, ["query_id", "id"], "left").groupBy("query_id", "k", "alpha").agg(F.sum(F.when(F.col("rel") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
     per = per.join(n, "query_id", "left").withColumn("ndcg", F.when(F.col("n_rel") > 0, F.col("dcg") / ideal).otherwise(0.0))
     return per.groupBy("k", "alpha").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
+def nearest_resolved(queries: DataFrame, resolved: DataFrame, threshold: float) -> DataFrame:
+    """queries(query_id, vector), resolved(vec_id, vector), unit vectors, ids in order of time -> query_id, resolved, sim, reused: the most similar earlier one.
+
+    As-of: a query sees only what was resolved before it, inside the search, which keeps one candidate for each block.
+    """
+    found = best(search(queries, resolved, l2, 1, earlier=True), 1)
+    sim = F.round(1 - F.col("distance") * F.col("distance") / 2, 6)
+    return found.select("query_id", F.col("vec_id").alias("resolved"), sim.alias("sim"), (sim >= threshold).alias("reused"))
+
+
+def reuse_report(queries: DataFrame, hits: DataFrame, qrels: DataFrame, threshold: float, k: int) -> DataFrame:
+    """What a stream of queries gains from earlier ones: n, base_recall, reuse_recall, rescued, hurt, used.
+
+    queries(query_id, vector) in order of time, hits(query_id, id, score), qrels(query_id, id). A query takes over the relevant documents of
+    the nearest earlier query from the threshold on, scored by that similarity (a document keeps its best score); recall is the share of queries with
+    a relevant document among the first k by score, then id.
+    """
+    prior = nearest_resolved(queries, queries.select(F.col("query_id").alias("vec_id"), "vector"), threshold).filter("reused")
+    own = hits.select("query_id", "id", "score", F.lit(True).alias("direct"))
+    taken = prior.join(qrels.select(F.col("query_id").alias("resolved"), "id").distinct(), "resolved").select("query_id", "id", F.col("sim").alias("score"), F.lit(False).alias("direct"))
+    first = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k).select("query_id", "id")
+    right = lambda df, name: first(df).join(qrels.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").select("query_id").distinct().withColumn(name, F.lit(True))
+    sound(queries.sparkSession)
+    every = own.unionByName(taken).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    x = queries.select("query_id").join(right(own, "base"), "query_id", "left").join(right(every, "reuse"), "query_id", "left").join(prior.select("query_id", "reused"), "query_id", "left").fillna(False)
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
+    return x.agg(F.count("*").alias("n"), share("base").alias("base_recall"), share("reuse").alias("reuse_recall"), F.count_if(F.col("reuse") & ~F.col("base")).alias("rescued"), F.count_if(~F.col("reuse") & F.col("base")).alias("hurt"), F.count_if("reused").alias("used"))

@@ -34,9 +34,11 @@ def _usable(df: DataFrame, ident: str) -> DataFrame:
     return df.select(F.col(ident).cast("long").alias("id"), vector.alias("vector")).filter(F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)))
 
 
-def search(queries: DataFrame, vectors: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int | None = None, within: float | None = None) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int | None = None, within: float | None = None, earlier: bool = False) -> DataFrame:
     """queries(query_id, vector), vectors(vec_id, vector) -> query_id, vec_id, distance: the k least, or all within a distance.
 
+    earlier: only vectors whose id is smaller than the query's count, as in a stream of queries that see what came before.
+
     Queries are cut into blocks, vectors into parts by hash; each block meets each part in one task, which
     holds the block alone and keeps a running best k by (distance rounded to 6 places, vec_id), so ties do
     not depend on the order of rows. Only what is kept is shuffled again. Null vectors, vectors with a null
@@ -66,10 +68,12 @@ def search(queries: DataFrame, vectors: DataFrame, measure: Callable[[np.ndarray
                 at = np.flatnonzero(size == dim)
                 names, matrix, kept = best[dim]
                 d = np.round(measure(matrix, np.stack([flat[i] for i in at])), 6) + 0.0
+                if earlier:
+                    d = np.where(ids[at][None] < names[:, None], d, np.inf)
                 if k is None:
                     near = d <= within
                 else:
-                    near = d <= (np.partition(d, k - 1, 1)[:, k - 1 : k] if d.shape[1] > k else np.inf)
+                    near = np.isfinite(d) & (d <= (np.partition(d, k - 1, 1)[:, k - 1 : k] if d.shape[1] > k else np.inf))
                 row, col = np.nonzero(near)
                 new = row, d[row, col], ids[at[col]]
                 if kept is not None:

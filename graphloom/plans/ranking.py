@@ -247,6 +247,25 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
     """The nearest earlier vector that is no query itself, as an answered query; its answers count from cosine 0.3 on."""
     v = read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
-    found = vectors.search(q, v.filter("vec_id % 20 <> 0"), vectors.l2, within=3.0).filter("vec_id < query_id")
-    sim = F.round(1 - F.col("distance") * F.col("distance") / 2, 6)
-    return vectors.best(found, 1).select("query_id", F.col("vec_id").alias("resolved"), sim.alias("sim"), (sim >= 0.3).alias("reused"))
+    return ranking.nearest_resolved(q, v.filter("vec_id % 20 <> 0"), 0.3)
+
+
+@query("reuse_report", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 5 = 0), dc AS (SELECT * FROM v WHERE vec_id % 5 > 0),
+p AS (SELECT q.vec_id AS query_id, dc.vec_id AS id, round(1 - round(list_distance(q.e, dc.e), 6) * round(list_distance(q.e, dc.e), 6) / 2, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.e, dc.e), 6), dc.vec_id) AS r FROM q, dc),
+own AS (SELECT query_id, id, score FROM p WHERE r <= 10),
+rel AS (SELECT q.vec_id AS query_id, q.vec_id + s AS id FROM q, (SELECT unnest([1, 7]) AS s) WHERE q.vec_id + s IN (SELECT vec_id FROM dc)),
+n AS (SELECT a.vec_id AS query_id, b.vec_id AS source, round(list_distance(a.e, b.e), 6) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 6), b.vec_id) AS r FROM q a JOIN q b ON b.vec_id < a.vec_id),
+pr AS (SELECT query_id, source, round(1 - d * d / 2, 6) AS sim FROM n WHERE r = 1 AND round(1 - d * d / 2, 6) >= 0.3),
+al AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM own UNION ALL SELECT pr.query_id, rel.id, sim FROM pr JOIN rel ON rel.query_id = pr.source) GROUP BY 1, 2),
+b AS (SELECT DISTINCT query_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM own) JOIN rel USING (query_id, id) WHERE k <= 3),
+u AS (SELECT DISTINCT query_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM al) JOIN rel USING (query_id, id) WHERE k <= 3),
+x AS (SELECT vec_id IN (SELECT query_id FROM b) AS base, vec_id IN (SELECT query_id FROM u) AS reuse, vec_id IN (SELECT query_id FROM pr) AS used FROM q)
+SELECT count(*) AS n, round(avg(CAST(base AS INTEGER)), 6) AS base_recall, round(avg(CAST(reuse AS INTEGER)), 6) AS reuse_recall, count(*) FILTER (reuse AND NOT base) AS rescued, count(*) FILTER (base AND NOT reuse) AS hurt, count(*) FILTER (used) AS used FROM x""")
+def reused(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth vector is a query, the others are documents; a query's relevant ones are the first and the seventh after it."""
+    v = read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    q, docs = v.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "vector"), v.filter("vec_id % 5 > 0")
+    hits = vectors.best(vectors.search(q, docs, vectors.l2, 10), 10).select("query_id", F.col("vec_id").alias("id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("score"))
+    rel = q.select("query_id", F.explode(F.array(F.col("query_id") + 1, F.col("query_id") + 7)).alias("id")).join(docs.select(F.col("vec_id").alias("id")), "id", "left_semi")
+    return ranking.reuse_report(q, hits, rel, 0.3, 3)
