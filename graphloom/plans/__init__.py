@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them all."""
 
-from graphloom.plans import ask, events, filters, joins, logs, memory, mentions, ranking, retrieval, screening, streams, tables, texts  # noqa: F401
+from graphloom.plans import ask, events, filters, joins, logs, memory, mentions, ranking, reports, retrieval, screening, streams, tables, texts  # noqa: F401
