@@ -153,3 +153,47 @@ def operating_points(instances: DataFrame, thresholds: list[float], budget: floa
     g = g.select("threshold", F.round("recall", 6).alias("recall"), F.round("false_rate", 6).alias("false_rate"))
     top = F.max(F.when(F.col("false_rate") <= budget, F.struct("recall", "threshold"))).over(Window.partitionBy())
     return g.withColumn("picked", F.coalesce(F.struct("recall", "threshold") == top, F.lit(False)))
+
+
+def rejudged_ndcg(queries: DataFrame, hits: DataFrame, qrels: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
+    """hits(query_id, doc_id, rank), qrels and judged(query_id, doc_id, positive) -> one row: NDCG at k against the given judgments and with the judge's positives among the first k added.
+
+    new_positives: pairs that the judge adds; false_negative_rate: their share of the judged pairs that the judgments did not hold.
+    """
+    known = qrels.select("query_id", "doc_id").distinct()
+    top = hits.filter(F.col("rank") <= k).select("query_id", "doc_id").distinct()
+    fresh = judged.groupBy("query_id", "doc_id").agg(F.bool_or("positive").alias("positive")).join(top, ["query_id", "doc_id"], "left_semi").join(known, ["query_id", "doc_id"], "left_anti")
+    more = fresh.filter("positive").select("query_id", "doc_id")
+    mean = lambda rel, name: retrieval_metrics(queries, hits, rel, k).agg(F.round(F.avg("ndcg"), 6).alias(name)).withColumn("one", F.lit(1))
+    n = fresh.agg(F.count_if("positive").alias("new_positives"), F.round(F.coalesce(F.try_divide(F.count_if("positive"), F.count("*")), F.lit(0.0)), 6).alias("false_negative_rate")).withColumn("one", F.lit(1))
+    x = mean(known, "ndcg").join(mean(known.unionByName(more), "ndcg_rejudged"), "one").join(n, "one")  # one row each
+    return x.select("ndcg", "ndcg_rejudged", F.round(F.col("ndcg_rejudged") - F.col("ndcg"), 6).alias("gain"), "new_positives", "false_negative_rate")
+
+
+def read_eval_queries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lines(line, value: JSON) -> queries(query_id, query, expected) and rejects(line, reason); blank lines are neither.
+
+    A line needs a query and a list of ids, strings that are not blank; a query's id is its line.
+    """
+    v = lines.filter(F.trim("value") != "").select("line", F.try_parse_json("value").alias("v"))
+    ids = F.try_variant_get("v", "$.expected_node_ids", "array<variant>")
+    text = F.when(F.schema_of_variant(F.try_variant_get("v", "$.query", "variant")) == "STRING", F.try_variant_get("v", "$.query", "string"))
+    named = lambda x: (F.schema_of_variant(x) == "STRING") & (F.try_variant_get(x, "$", "string") != "")
+    object_ = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+    why = F.when(F.col("v").isNull(), "invalid JSON").when(~object_, "no object").when(F.coalesce(text, F.lit("")) == "", "no query").when(F.coalesce(F.size(ids), F.lit(0)) < 1, "no expected_node_ids").when(~F.forall(ids, named), "blank id")
+    x = v.withColumns({"reason": why, "query": text, "expected": F.transform(ids, lambda i: F.try_variant_get(i, "$", "string"))})
+    return x.filter("reason is null").select(F.col("line").alias("query_id"), "query", "expected"), x.filter("reason is not null").select("line", "reason")
+
+
+def eval_queries(queries: DataFrame, runs: DataFrame, k: int = 10) -> DataFrame:
+    """queries(query_id, expected array), runs(query_id, retrieved array in order, latency_ms, failed) -> one row: n, means of recall, NDCG, reciprocal rank and latency, its p50 and p95.
+
+    Failed queries are skipped.
+    """
+    ok = runs.filter(~F.coalesce("failed", F.lit(False)))
+    q = queries.join(ok.select("query_id"), "query_id", "left_semi")
+    hits = ok.select("query_id", F.posexplode(F.slice("retrieved", 1, k)).alias("at", "doc_id")).groupBy("query_id", "doc_id").agg((F.min("at") + 1).alias("rank"))
+    m = retrieval_metrics(q, hits, q.select("query_id", F.explode("expected").alias("doc_id")), k).agg(F.count("*").alias("n"), *[F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias(c) for c in ("recall", "ndcg", "mrr")]).withColumn("one", F.lit(1))
+    took = ok.join(q.select("query_id"), "query_id", "left_semi").select(F.col("latency_ms").cast("double").alias("x"))
+    at = quantiles(took, [0.5, 0.95]).groupBy(F.lit(1).alias("one")).pivot("q", [0.5, 0.95]).agg(F.first("value")).toDF("one", "p50_ms", "p95_ms")
+    return m.join(took.agg(F.round(F.avg("x"), 6).alias("mean_ms")).withColumn("one", F.lit(1)), "one").join(at, "one", "left").fillna(0.0, ["mean_ms", "p50_ms", "p95_ms"]).drop("one")
