@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -112,8 +113,20 @@ HIGH_RISK = r"\b(securit|vulnerab|\bcve\b|exploit|auth|oauth|password|secret|tok
 ELEVATED_RISK = r"\b(upgrade|migrat|version|dependenc|deprecat|breaking change|bump|lockfile|release note|patch|rollback)"
 
 
+# Java takes letters of any script as parts of a word, SQL and the patterns here only those of ASCII.
+_EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    r"""The pattern with \b between ASCII words, \s without the vertical tab and, under (?i), the long s and the Kelvin sign as s and k."""
+    fold = {"s": "[s\u017f]", "k": "[k\u212a]"} if re.match(r"\(\?\w*i", pattern) else {}
+    swap = {r"\b": _EDGE, r"\s": r"[\t\n\f\r ]", **fold}
+    return re.sub(r"\(\?\w+\)|\\.|\[[^\]]*\]|.", lambda m: swap.get(m[0], m[0]), pattern)
+
+
 def classify_risk(q: Column) -> Column:
-    return F.when(F.rlike(q, F.lit(f"(?i){HIGH_RISK}")), "high").when(F.rlike(q, F.lit(f"(?i){ELEVATED_RISK}")), "elevated").otherwise("low")
+    has = lambda p: F.rlike(q, F.lit(ascii_words(f"(?i){p}")))
+    return F.when(has(HIGH_RISK), "high").when(has(ELEVATED_RISK), "elevated").otherwise("low")
 
 
 # What keeps a session entry beyond its time.
@@ -124,7 +137,7 @@ def has_key_signal(label: Column, summary: Column) -> Column:
     text = F.concat_ws("\n", F.coalesce(label, F.lit("")), F.coalesce(summary, F.lit("")))
     out = F.lit(False)
     for p in KEY_SIGNALS:
-        out = out | F.rlike(text, F.lit(p))
+        out = out | F.rlike(text, F.lit(ascii_words(p)))
     return out
 
 
@@ -140,7 +153,7 @@ def age_in_days(at: Column, now: Column) -> Column:
 
 def page_text(html: Column) -> Column:
     """The text of a page without scripts, styles and navigation."""
-    return strip_html(F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</(script|style|nav)>", " "))
+    return strip_html(F.regexp_replace(html, ascii_words(r"(?is)<(script|style|nav)\b.*?</(script|style|nav)>"), " "))
 
 
 def page_title(html: Column) -> Column:
