@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.frames import Scratch, scratched
 from graphloom.functions.text import jaccard_tokens
 from graphloom.operators.clusters import greedy_clusters  # noqa: F401  the step between candidates and memories
 from graphloom.operators.telemetry import retention, retention_band
+from graphloom.operators.vectors import hamming_words
+
+#: Tokens that are ranked by how common they are, and bits of a sketch.
+COMMON, SKETCH = 1 << 17, 1024
 
 
 def decide_contract(score: Column, risk: Column, observed_parts: Column | None = None, energy_admit: Column | None = None) -> Column:
@@ -62,35 +71,91 @@ def ood_signals(sims: DataFrame, t: float = 0.1) -> DataFrame:
     return x.select("query_id", r(1 + t * F.log("z")).alias("energy"), r(F.col("top")).alias("top"), r(F.coalesce(F.col("top") - F.col("second"), F.lit(0.0))).alias("gap"), r(rest).alias("over_rest"), r(F.col("top") - F.col("last")).alias("range"), r(F.col("ez") / F.col("z") - F.log("z")).alias("sharpness"))
 
 
-def similar_memories(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """left(id, text), right(id, text) -> a, b, jaccard of token sets of at least `least` (0.5 or more).
+def _sets(df: DataFrame) -> DataFrame:
+    """df(text, ...) with `set` in place of text, the digest of its token set, and k, the tokens' hashes; without tokens a row is left out."""
+    t = df.withColumn("tokens", F.array_sort(jaccard_tokens(F.col("text")))).filter(F.size("tokens") > 0)
+    return t.withColumn("set", F.unhex(F.md5(F.array_join("tokens", " ")))).withColumn("k", F.transform("tokens", lambda t: F.xxhash64(t))).drop("text", "tokens")
 
-    Prefix filter: tokens are ordered from rare to common, and two sets that reach the similarity share one of
-    the first |s| - ceil(least |s|) + 1 of each; only those are joined on, so common tokens meet nobody.
-    """
-    sets = lambda df: df.select("id", F.transform(jaccard_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("k")).filter(F.size("k") > 0)
-    l, r = sets(left), sets(right)  # noqa: E741
-    freq = l.select(F.explode("k").alias("t")).unionAll(r.select(F.explode("k").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
 
-    def heads(df: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-        w = Window.partitionBy("id").orderBy("f", "t")
-        x = df.select("id", F.size("k").alias("n"), F.explode("k").alias("t")).join(freq, "t").withColumn("place", F.row_number().over(w))
-        return x.filter(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("t", F.col("id").alias(names[0]), F.col("n").alias(names[1]))
+def _heads(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """sets(set, k) -> t, set, n, place: the first tokens of each set from rare to common, of which similar sets share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered = np.argsort(common)
+        names = common[ordered]
+        for b in batches:
+            k = b.column(1)
+            flat, n = k.flatten().to_numpy(), np.diff(k.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.searchsorted(names, flat) if len(names) else np.zeros(len(flat), int)
+            known = (names[np.minimum(at, len(names) - 1)] == flat) if len(names) else np.zeros(len(flat), bool)
+            rank = np.zeros(len(flat), np.int64)  # tokens that are not common come first, by their hash
+            rank[known] = len(names) - ordered[at[known]]
+            o = np.lexsort((flat, rank, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + 1
+            first = place <= (n - np.ceil(least * n) + 1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[o][first]), b.column(0).take(pa.array(row[first])), pa.array(n[row[first]].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["t", "set", "n", "place"])
+
+    return sets.select("set", "k").mapInArrow(run, "t long, set binary, n int, place int")
 
-    met = heads(l, ("a", "na", "")).join(heads(r, ("b", "nb", "")), "t").filter((F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    full = met.join(l.select(F.col("id").alias("a"), F.col("k").alias("x")), "a").join(r.select(F.col("id").alias("b"), F.col("k").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return full.withColumn("jaccard", F.round(both / (F.size("x") + F.size("y") - both), 6)).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """sets(set, k) -> set, bits: for each of SKETCH places whether an odd number of tokens falls on it; two sets differ in at least as many tokens as bits."""
 
-def write_gate(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                flat, n = part.column(1).flatten().to_numpy(), np.diff(part.column(1).offsets.to_numpy())
+                spot = np.repeat(np.arange(len(n)), n) * SKETCH + (flat & (SKETCH - 1))
+                bits = np.packbits((np.bincount(spot, minlength=len(n) * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(bits))], ["set", "bits"])
+
+    return sets.select("set", "k").mapInArrow(run, "set binary, bits array<long>")
+
+
+def similar_sets(members: DataFrame, least: float, keep: Scratch) -> DataFrame:
+    """members(set, k) -> a, b, jaccard: different token sets, a < b, that reach `least` (0.5 or more); copies stand for one set.
+
+    Prefix filter: tokens are ordered from rare to common, and two sets that reach the similarity share one of
+    the first |s| - ceil(least |s|) + 1 of each; only those are joined on, so common tokens meet nobody. Any order finds all
+    pairs, so only the COMMON commonest tokens are ranked, in every task. What meets is thinned by sizes, by places and by
+    sketches before whole sets are sent for it.
+    """
+    sets = keep(members.groupBy("set").agg(F.first("k").alias("k")))
+    freq = sets.select(F.explode("k").alias("t")).groupBy("t").agg(F.count("*").alias("f")).filter("f > 1").orderBy(F.desc("f"), "t").limit(COMMON)
+    heads = keep(_heads(sets, freq.select("t").toArrow()["t"].to_numpy(), least - 1e-6))
+    side = lambda n: heads.select("t", F.col("set").alias(n), F.col("n").alias(f"n{n}"), F.col("place").alias(f"p{n}"))
+    small, both = F.least("na", "nb"), F.col("na") + F.col("nb")
+    left = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # tokens that the sets can still share
+    low = least - 1e-6
+    met = side("a").join(side("b"), "t").filter((F.col("a") < F.col("b")) & (small >= least * F.greatest("na", "nb") - 1e-9) & (left >= low / (1 + low) * both)).select("a", "b", "na", "nb").distinct()
+    bits = keep(_sketches(sets))
+    near = met.join(bits.select(F.col("set").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("set").alias("b"), F.col("bits").alias("y")), "b")
+    near = keep(near.filter(hamming_words(F.col("x"), F.col("y")) <= (1 - low) / (1 + low) * both).select("a", "b"))
+    full = near.join(sets.select(F.col("set").alias("a"), F.col("k").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("k").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    full = full.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), shared.alias("shared"))
+    return full.select("a", "b", F.round(F.col("shared") / (both - F.col("shared")), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
+@scratched
+def write_gate(candidates: DataFrame, existing: DataFrame, *, keep: Scratch) -> DataFrame:
     """candidates(id, uri, body, importance, concepts), existing(id, text, strength, seq) -> id, verdict, against.
 
     The first rule that fails decides; a body that nearly repeats a strong memory (the first in order) contradicts it.
     """
-    strong = existing.filter("strength >= 0.8")
-    near = similar_memories(candidates.select("id", F.col("body").alias("text")), strong.select("id", "text"), 0.9).join(strong.select(F.col("id").alias("b"), "seq"), "b")
-    first = near.groupBy(F.col("a").alias("id")).agg(F.min_by("b", "seq").alias("against"))
+    both = existing.filter("strength >= 0.8").select("id", "text", "seq", F.lit(True).alias("strong")).unionByName(candidates.select("id", F.col("body").alias("text"), F.lit(False).alias("strong")), allowMissingColumns=True)
+    pairs = similar_sets(_sets(both.select("text")), 0.9, keep).select("a", "b")
+    members = keep(_sets(both).drop("k"))
+    strong, asked = members.filter("strong"), members.filter("not strong")
+    # of each set the first two strong memories: the first of them that is not the candidate itself is the first of all
+    own = strong.groupBy("set", "id").agg(F.min("seq").alias("seq"))
+    two = own.withColumn("k", F.row_number().over(Window.partitionBy("set").orderBy("seq", "id"))).filter("k <= 2").select("set", "seq", "id")
+    there = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = there.join(two.withColumnRenamed("set", "b"), "b").select(F.col("a").alias("set"), "seq", "id").unionByName(two)
+    best = beside.withColumn("k", F.row_number().over(Window.partitionBy("set").orderBy("seq", "id"))).filter("k <= 2").select("set", "seq", F.col("id").alias("against"))
+    first = asked.select("id", "set").distinct().join(best, "set").filter(F.col("id") != F.col("against")).groupBy("id").agg(F.min(F.struct("seq", "against"))["against"].alias("against"))
     x = candidates.join(first, "id", "left")
     verdict = (
         F.when(F.coalesce(F.col("id").cast("string"), F.lit("")) == "", "schema_no_source").when(F.coalesce("importance", F.lit(0)) <= 2, "importance").when(F.coalesce(F.size("concepts"), F.lit(0)) < 1, "concepts")
@@ -99,11 +164,16 @@ def write_gate(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return x.select("id", verdict.alias("verdict"), F.when(verdict == "contradiction", F.col("against")).alias("against"))
 
 
-def contradictions(nodes: DataFrame, least: float = 0.9) -> DataFrame:
+@scratched
+def contradictions(nodes: DataFrame, least: float = 0.9, *, keep: Scratch) -> DataFrame:
     """nodes(id, text, concepts, at) -> kept, demoted: near-equal memories that share a concept while each has one of its own; the older is demoted."""
-    pairs = similar_memories(nodes.select("id", "text"), nodes.select("id", "text"), least).filter("a < b")
-    side = lambda n: nodes.select(F.col("id").alias(n), F.col("concepts").alias(f"{n}_c"), F.col("at").alias(f"{n}_at"))
-    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    sets = keep(similar_sets(_sets(nodes.select("text")), least, keep).select("a", "b"))
+    members = keep(_sets(nodes.select("id", "text", "concepts", "at")).drop("k"))
+    side = lambda n: members.select(F.col("set").alias(f"{n}_set"), F.col("id").alias(n), F.col("concepts").alias(f"{n}_c"), F.col("at").alias(f"{n}_at"))
+    there = sets.select(F.col("a").alias("a_set"), F.col("b").alias("b_set")).unionByName(sets.select(F.col("b").alias("a_set"), F.col("a").alias("b_set")))
+    across = there.join(side("a"), "a_set").join(side("b"), "b_set").filter("a < b")
+    within = side("a").join(side("b"), F.col("a_set") == F.col("b_set")).filter("a < b")
+    x = across.select(*within.columns).unionByName(within)
     own = lambda p, q: F.size(F.array_except(p, q)) > 0
     x = x.filter((F.size(F.array_intersect("a_c", "b_c")) > 0) & own("a_c", "b_c") & own("b_c", "a_c"))
     older = F.col("a_at") <= F.col("b_at")
