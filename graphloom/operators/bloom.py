@@ -2,8 +2,9 @@
 
 A filter is rows (filter, m, k, word, bits): m bits, k indexes a value, and its 64-bit words that are not
 zero. Bit i of the filter is bit i % 64 of word i / 64, so the words in order, little-endian, are the byte array
-of the exchange format. Each task sets bits in arrays of its own and sends the words it has touched, at most m / 64 for each filter, which
-bit_or() merges before and after the shuffle: neither values nor hot filters are shuffled.
+of the exchange format. Each distinct value of a filter is hashed once; tasks send the words that their values touch, sorted out of
+batches of bounded size, and bit_or() merges them before and after the shuffle: a task's work follows its values, however
+many filters there are and however large one is.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 # The hash and its two seeds, and the bounds of a filter's shape.
 FNV_PRIME, SEEDS = 0x01000193, (0x811C9DC5, 0xDEADBEEF)
 LEAST_BITS, MOST_BITS, MOST_HASHES = 8, 1 << 26, 32
-#: Bytes of bit arrays that a task holds before it sends them on.
+#: Bytes that a task works on at once, before it sends words on; it holds a quarter of them as bit numbers.
 HELD = 1 << 26
 
 
@@ -43,18 +44,18 @@ def fnv_indexes(values: pa.Array, m: int, k: int) -> np.ndarray:
     order = np.argsort(-np.diff(offsets), kind="stable")
     starts, sizes = offsets[:-1][order], np.diff(offsets)[order]
     h = np.repeat(np.array(SEEDS, np.uint32)[:, None], len(order), 1)
-    live, at = int(np.count_nonzero(sizes)), 0
+    live, at, less = int(np.count_nonzero(sizes)), 0, -sizes
     while live:  # one byte of all values that are long enough at a time
         h[:, :live] = (h[:, :live] ^ raw[starts[:live] + at]) * np.uint32(FNV_PRIME)
         at += 1
-        live = int(np.searchsorted(-sizes, -at, "left"))
+        live = int(np.searchsorted(less, -at, "left"))
     both = np.empty_like(h)
     both[:, order] = h
     steps = np.arange(k, dtype=np.uint32)
     return ((both[0][:, None] + steps * both[1][:, None]) % np.uint32(m)).astype(np.int64)
 
 
-_WORDS = "filter string, m int, k int, word int, bits long"
+_WORDS = "filter string, word int, bits long"
 
 
 def bloom_build(values: DataFrame, m: int, k: int) -> DataFrame:
@@ -62,31 +63,31 @@ def bloom_build(values: DataFrame, m: int, k: int) -> DataFrame:
     check_shape(m, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, np.ndarray] = {}
+        held: list[list[pa.Array | np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for name, bits in held.items():
-                w = np.flatnonzero(bits)
-                some = [pa.array([name] * len(w), pa.string()), pa.array(np.full(len(w), m, np.int32)), pa.array(np.full(len(w), k, np.int32)), pa.array(w.astype(np.int32)), pa.array(bits[w].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(some, ["filter", "m", "k", "word", "bits"])
+            """The words of what is held: sorted by filter and bit, so that its size follows the values and not m."""
+            if held:
+                names = pa.chunked_array([h[0] for h in held]).combine_chunks().dictionary_encode()
+                code = np.repeat(names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64), k)
+                spot = np.unique(code * (m + 64) + np.concatenate([h[1] for h in held]))
+                code, bit = spot // (m + 64), spot % (m + 64)
+                word, one = bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64)
+                first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (word[1:] != word[:-1])))
+                named = pa.concat_arrays([names.dictionary, pa.array([None], names.dictionary.type)]).take(pa.array(code[first]))
+                yield pa.RecordBatch.from_arrays([named, pa.array(word[first].astype(np.int32)), pa.array(np.bitwise_or.reduceat(one, first).view(np.int64))], ["filter", "word", "bits"])
             held.clear()
 
         for b in batches:
-            index = fnv_indexes(b.column(1), m, k)
-            names = b.column(0).dictionary_encode()
-            codes = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            for c in np.unique(codes):
-                name = None if c < 0 else names.dictionary[int(c)].as_py()
-                if name not in held:
-                    if len(held) * (m // 8 + 64) > HELD:
-                        yield from out()
-                    held[name] = np.zeros(-(-m // 64), np.uint64)
-                i = index[codes == c].ravel()
-                np.bitwise_or.at(held[name], i >> 6, np.uint64(1) << (i & 63).astype(np.uint64))
+            if b.num_rows:
+                held.append([b.column(0), fnv_indexes(b.column(1), m, k).ravel()])
+            if sum(h[1].nbytes for h in held) >= HELD // 4:
+                yield from out()
         yield from out()
 
-    rows = values.select(F.col("filter").cast("string").alias("filter"), F.col("value").cast("string").alias("value")).filter("value is not null")
-    return rows.mapInArrow(run, _WORDS).groupBy("filter", "m", "k", "word").agg(F.bit_or("bits").alias("bits"))
+    rows = values.select(F.col("filter").cast("string").alias("filter"), F.col("value").cast("string").alias("value")).filter("value is not null").distinct()
+    merged = rows.mapInArrow(run, _WORDS).groupBy("filter", "word").agg(F.bit_or("bits").alias("bits"))
+    return merged.select("filter", F.lit(m).alias("m"), F.lit(k).alias("k"), "word", "bits")
 
 
 def bloom_union(*filters: DataFrame) -> DataFrame:
