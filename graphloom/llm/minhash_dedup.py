@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.components import components
-from graphloom.frames import Scratch, pick, read, shuffle_partitions, stored
+from graphloom.frames import Scratch, pick, read, scratched, shuffle_partitions, stored
 
 HASHES, TREES, STEP, MIN_DEPTH, WINDOW, BEST_ROUNDS = 64, 16, 4, 2, 4, 3
 #: Documents of a crowded region, and shingles of them all, that one block of the catching-up holds.
@@ -209,7 +209,8 @@ def _dealt(met: DataFrame, parts: DataFrame, n: int, *columns: str) -> DataFrame
     return work.repartition(n, "top", "part").sortWithinPartitions("top", "part", "asks", "node")
 
 
-def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
+@scratched
+def crowded_links(nodes: DataFrame, comps: DataFrame, source: DataFrame, width: int, percent: int, *, keep: Scratch) -> DataFrame:
     """Links (a, b) between different components that share a region too large for the window.
 
     Each document outside the largest component of its region meets all documents of the region; regions
@@ -387,7 +388,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keyed: b
             links = keep(links.unionByName(confirm(ask, texts, width, percent)))
             pairs = pairs.join(ask, ["a", "b"], "left_anti")
             turn += 1
-        caught = crowded_links(nodes, comps, source, width, percent, keep)
+        caught = crowded_links(nodes, comps, source, width, percent, keep=keep)
         if not caught.isEmpty():
             comps = components(links.unionByName(caught), keep=keep)
         placed = keep(nodes.select("node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
