@@ -53,3 +53,18 @@ def test_odd_rows(spark):
     assert {tuple(r) for r in clusters.greedy_clusters(df, 0.8, 2, 9).collect()} == {("w", 6, 6, 0), ("w", 6, 7, 1)}
     assert {r.cluster for r in clusters.subject_clusters(df).collect()} == {3, 4, 6}
     assert clusters.greedy_clusters(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("fewest,most", [(1, None), (3, None), (3, 5), (2, 2), (6, 3), (3, 1)])
+def test_blocks_and_short_lists_equal_the_sequential_loop(spark, monkeypatch, fewest, most):
+    """Blocks of 16 and lists that run dry, with copies; no table of all similar pairs is made."""
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    monkeypatch.setattr(clusters, "PART", 32)
+    monkeypatch.setattr(clusters, "LISTED", 1)
+    monkeypatch.setattr(clusters, "similar_pairs", None)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 5))
+    rows = [("hot", i, i // 2, (base[rng.integers(0, 4)] + (i % 3 > 0) * 0.3 * rng.normal(size=5)).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "workspace string, id long, at long, vector array<double>").repartition(3)
+    got = [tuple(r) for r in clusters.greedy_clusters(df, 0.8, fewest, most).collect()]
+    assert set(got) == sequential(rows, 0.8, fewest, most) and len(got) == len(set(got))
