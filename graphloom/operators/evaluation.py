@@ -9,14 +9,16 @@ from graphloom.frames import Scratch, scratched, shuffle_partitions
 
 
 def retrieval_metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
-    """Per query: recall, recall_any, ndcg, mrr, average precision at k; queries without hits count 0."""
-    rel = qrels.select("query_id", "doc_id").distinct().withColumn("rel", F.lit(1))
-    total = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    h = hits.filter(F.col("rank") <= k).join(rel, ["query_id", "doc_id"])
-    w = Window.partitionBy("query_id").orderBy("rank")
-    h = h.withColumn("found", F.count("*").over(w))
-    per = h.groupBy("query_id").agg(F.count("*").alias("n_hit"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.min("rank").alias("first"), F.sum(F.col("found") / F.col("rank")).alias("ap"))
-    x = queries.select("query_id").join(total, "query_id", "left").join(per, "query_id", "left").fillna(0, ["n_rel", "n_hit", "dcg", "ap"])
+    """Per query: recall, recall_any, ndcg, mrr, average precision at k; queries without hits count 0.
+
+    Judgments and hits are read once: each pair of a query and a relevant document carries the ranks it was found at."""
+    rel = qrels.select("query_id", "doc_id").distinct()
+    found = hits.filter(F.col("rank") <= k).groupBy("query_id", "doc_id").agg(F.collect_list("rank").alias("at"))
+    pairs = rel.join(found, ["query_id", "doc_id"], "left").select("query_id", F.posexplode_outer("at").alias("i", "rank"))
+    per = pairs.groupBy("query_id").agg(F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("n_rel"), F.array_sort(F.collect_list("rank")).alias("ranks"))  # at most k ranks
+    total = lambda f: F.aggregate("ranks", F.lit(0.0), lambda a, r: a + f(r))
+    of = {"n_hit": F.size("ranks"), "dcg": total(lambda r: 1 / F.log2(r + 1)), "first": F.get("ranks", F.lit(0)), "ap": total(lambda r: F.size(F.filter("ranks", lambda x: x <= r)) / r)}
+    x = queries.select("query_id").join(per.withColumns(of).drop("ranks"), "query_id", "left").fillna(0, ["n_rel", "n_hit", "dcg", "ap"])
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.col("n_rel"), F.lit(1))).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     some = F.col("n_rel") > 0
     return x.select(
