@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import age_in_days, classify_risk, query_terms
+from graphloom.functions.text import age_in_days, classify_risk, once, query_terms
 from graphloom.operators.joins import resolve_alias
 from graphloom.operators.memory import decide_contract
 from graphloom.operators.ranking import multi_rrf
@@ -27,9 +27,11 @@ def alias_queries(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """queries(query_id, text), entities(id, seq, aliases) -> query_id, variant, text: the question (0) and up to three other aliases of the entity it names."""
     q = queries.select("query_id", "text", F.regexp_replace("text", r"^\s+|\s+$", "").alias("surface"))
     named = resolve_alias(q, entities).filter("id is not null")
-    known = named.join(entities.groupBy("id").agg(F.min_by("aliases", "seq").alias("aliases")), "id").select("surface", "aliases")
-    x = q.join(known, "surface", "left")
-    fresh = F.filter("aliases", lambda a, i: (_plain(a) != "") & (_plain(a) != _plain(F.col("text"))) & (F.array_position(F.transform("aliases", _plain), _plain(a)) == i + 1))
+    first = entities.filter("seq is not null").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).filter("place = 1")
+    known = named.join(first.select("id", "aliases").hint("merge"), "id").select("surface", "aliases")
+    x = q.join(known.hint("merge"), "surface", "left")
+    plain = F.struct(F.transform("aliases", _plain).alias("all"), _plain(F.col("text")).alias("text"))
+    fresh = once(plain, lambda p: F.filter("aliases", lambda a, i: (p["all"][i] != "") & (p["all"][i] != p["text"]) & (F.array_position(p["all"], p["all"][i]) == i + 1)))
     every = F.concat(F.array("text"), F.coalesce(F.slice(fresh, 1, MOST_ALIASES), F.array().cast("array<string>")))
     return x.select("query_id", F.posexplode(every).alias("variant", "text"))
 

@@ -18,10 +18,17 @@ def recall(edges: DataFrame, nodes: DataFrame, half_life: float = 14.0, most: in
 
 
 def resolve_alias(surfaces: DataFrame, entities: DataFrame) -> DataFrame:
-    """surfaces(surface), entities(id, seq, aliases) -> surface, id: an id itself, else the first entity in order with that alias, else null."""
+    """surfaces(surface), entities(id, seq, aliases) -> surface, id: an id itself, else the first entity in order with that alias, else null.
+
+    The first place in order is a number, which tasks count by hash and in pieces; ids are looked up after. Joins are
+    merged: by the size of its file a registry seems small enough to be sent whole, its aliases are far larger.
+    """
     s = surfaces.select("surface").distinct().withColumn("norm", normalise_alias(F.col("surface")))
-    names = entities.select(F.explode("aliases").alias("alias"), "seq", "id").groupBy(normalise_alias(F.col("alias")).alias("norm")).agg(F.min_by("id", "seq").alias("by_alias"))
-    x = s.join(entities.select(F.col("id").alias("own")).distinct(), s["surface"] == F.col("own"), "left").join(names, "norm", "left")
+    names = entities.select(F.explode("aliases").alias("alias"), "seq", "id").select(normalise_alias(F.col("alias")).alias("norm"), "seq", "id")
+    first = names.groupBy("norm").agg(F.min("seq").alias("seq")).join(s.select("norm").distinct().hint("merge"), "norm")  # left_semi would go before the counting
+    ids = names.join(first.hint("merge"), ["norm", "seq"]).groupBy("norm").agg(F.min("id").alias("by_alias"))
+    own = entities.select(F.col("id").alias("own")).distinct()
+    x = s.join(own.hint("merge"), s["surface"] == own["own"], "left").join(ids.hint("merge"), "norm", "left")
     return x.select("surface", F.coalesce("own", "by_alias").alias("id"))
 
 
