@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.frames import Scratch, scratched
-from graphloom.functions.text import jaccard_tokens
+from graphloom.frames import Scratch, scratched, shuffle_partitions
 from graphloom.operators.clusters import greedy_clusters  # noqa: F401  the step between candidates and memories
 from graphloom.operators.telemetry import retention, retention_band
-from graphloom.operators.vectors import hamming_words
 
-#: Tokens that are ranked by how common they are, and bits of a sketch.
-COMMON, SKETCH = 1 << 17, 1024
+#: Sets whose parts are made in common, and the bytes of a token.
+COMMON, WORD = 1 << 10, np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", np.uint8))
 
 
 def decide_contract(score: Column, risk: Column, observed_parts: Column | None = None, energy_admit: Column | None = None) -> Column:
@@ -71,72 +71,137 @@ def ood_signals(sims: DataFrame, t: float = 0.1) -> DataFrame:
     return x.select("query_id", r(1 + t * F.log("z")).alias("energy"), r(F.col("top")).alias("top"), r(F.coalesce(F.col("top") - F.col("second"), F.lit(0.0))).alias("gap"), r(rest).alias("over_rest"), r(F.col("top") - F.col("last")).alias("range"), r(F.col("ez") / F.col("z") - F.log("z")).alias("sharpness"))
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """df(text, ...) with `set` in place of text, the digest of its token set, and k, the tokens' hashes; without tokens a row is left out."""
-    t = df.withColumn("tokens", F.array_sort(jaccard_tokens(F.col("text")))).filter(F.size("tokens") > 0)
-    return t.withColumn("set", F.unhex(F.md5(F.array_join("tokens", " ")))).withColumn("k", F.transform("tokens", lambda t: F.xxhash64(t))).drop("text", "tokens")
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers mixed, different ones staying different."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def _token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case UTF-8 texts one after the other -> hashes of the different runs of [a-z0-9_] longer than two letters, in order within each text, and their offsets."""
+    n, rows = len(data), np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
+    word = WORD[data]
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    before[rows], after[rows[1:] - 1] = False, False
+    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    long = end - start > 2
+    start, size = start[long], (end - start)[long]
+    # eight letters at a time; the last ones of a run are cut out by a mask
+    eights = np.ndarray((n,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,)) if n else np.zeros(0, np.uint64)
+    h, left, which = _mixed(size.astype(np.uint64)), size, np.arange(len(start))
+    at = start
+    while len(which):
+        keep = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        h[which] = _mixed(h[which] ^ (eights[at] & (~np.uint64(0) >> (np.uint64(64) - keep))))
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    edge = np.searchsorted(start, offsets)
+    for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        h[lo:hi].sort()
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    first[edge[:-1][edge[:-1] < edge[1:]]] = True
+    return h[first], np.append(0, np.cumsum(first))[edge]
 
 
-def _heads(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
-    """sets(set, k) -> t, set, n, place: the first tokens of each set from rare to common, of which similar sets share one."""
+def _sets(df: DataFrame) -> DataFrame:
+    """df(text, ...) with `set` in place of text, the digest of its token set, and k, the tokens' hashes as unsigned numbers in order; without tokens a row is left out."""
+    rest = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = np.argsort(common)
-        names = common[ordered]
         for b in batches:
-            k = b.column(1)
-            flat, n = k.flatten().to_numpy(), np.diff(k.offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.searchsorted(names, flat) if len(names) else np.zeros(len(flat), int)
-            known = (names[np.minimum(at, len(names) - 1)] == flat) if len(names) else np.zeros(len(flat), bool)
-            rank = np.zeros(len(flat), np.int64)  # tokens that are not common come first, by their hash
-            rank[known] = len(names) - ordered[at[known]]
-            o = np.lexsort((flat, rank, row))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + 1
-            first = place <= (n - np.ceil(least * n) + 1)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[o][first]), b.column(0).take(pa.array(row[first])), pa.array(n[row[first]].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["t", "set", "n", "place"])
-
-    return sets.select("set", "k").mapInArrow(run, "t long, set binary, n int, place int")
-
-
-def _sketches(sets: DataFrame) -> DataFrame:
-    """sets(set, k) -> set, bits: for each of SKETCH places whether an odd number of tokens falls on it; two sets differ in at least as many tokens as bits."""
+            text = b.column(0).cast(pa.large_string())
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+            at = 0
+            while at < b.num_rows:  # texts of some four million letters at once
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 22), "right")) - 1)
+                data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[at] : offsets[to]]
+                k, edge = _token_hashes(data, offsets[at : to + 1] - offsets[at])
+                some = np.flatnonzero(np.diff(edge))
+                digests = [hashlib.md5(k[edge[i] : edge[i + 1]]).digest() for i in some.tolist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(edge[some], len(k)).astype(np.int32)), pa.array(k.view(np.int64)))
+                columns = [b.column(i + 1).take(pa.array(some + at)) for i in range(len(rest))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()), lists], [*rest, "set", "k"])
+                at = to
+
+    schema = T.StructType([df.schema[c] for c in rest]).add("set", T.BinaryType()).add("k", T.ArrayType(T.LongType()))
+    return df.select(F.lower("text").alias("text"), *rest).mapInArrow(run, schema)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """set, k -> the first row of each set in this task."""
+    seen: set[bytes] = set()
+    for b in batches:
+        new = []
+        for i, s in enumerate(b.column(0).to_pylist()):
+            if s not in seen:
+                seen.add(s)
+                new.append(i)
+        yield b.take(pa.array(new, pa.int64()))
+
+
+def _schemes(low: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First size of each class up to `most`, and parts of each: no set reaches the similarity with one more than a class
+    above its own, and in a pair whose smaller set is of the class fewer tokens differ than there are parts."""
+    first = [1]
+    while first[-1] <= most:
+        first.append(int(first[-1] / low) + 1)
+    last = np.array(first[1:]) - 1
+    return np.array(first[:-1]), ((1 - low) / (1 + low) * (last + np.floor(last / low)) + 1e-9).astype(np.int64) + 1
+
+
+def _parts(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """s, k -> part, before, s, n: digests of the parts of each set in the scheme of its class (n) and in that of the class below (-n), with that of the part before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                flat, n = part.column(1).flatten().to_numpy(), np.diff(part.column(1).offsets.to_numpy())
-                spot = np.repeat(np.arange(len(n)), n) * SKETCH + (flat & (SKETCH - 1))
-                bits = np.packbits((np.bincount(spot, minlength=len(n) * SKETCH) & 1).astype(np.uint8)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(bits))], ["set", "bits"])
-
-    return sets.select("set", "k").mapInArrow(run, "set binary, bits array<long>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, COMMON):
+                b = whole.slice(at, COMMON)
+                s, k = b.column(0).to_numpy(), b.column(1)
+                flat, n = k.flatten().to_numpy().view(np.uint64), np.diff(k.offsets.to_numpy()).astype(np.int64)
+                first, parts = _schemes(low, int(n.max()))
+                own, total = np.searchsorted(first, n, "right") - 1, np.append(np.uint64(0), np.cumsum(flat))
+                for step in (0, 1):
+                    scheme = own - step
+                    has = scheme >= 0
+                    m = np.where(has, parts[scheme], 1)
+                    edge = np.append(0, np.cumsum(m))
+                    # a token's part follows from its hash alone and rises with it, so a part is a stretch of the sorted hashes
+                    place = (flat >> np.uint64(32)) * np.repeat(m, n).astype(np.uint64) >> np.uint64(32)
+                    ends = np.cumsum(np.bincount(np.repeat(edge[:-1], n) + place.astype(np.int64), minlength=edge[-1]))
+                    sums = np.diff(total[np.append(0, ends)])
+                    row = np.repeat(np.arange(len(n)), m)
+                    label = (scheme[row].astype(np.uint64) << np.uint64(32)) + (np.arange(edge[-1]) - edge[row]).astype(np.uint64)
+                    part = _mixed(sums + _mixed(label)).view(np.int64)
+                    before = np.roll(part, 1)
+                    before[edge[:-1]] = s
+                    keep = has[row]
+                    size = (n if step == 0 else -n).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[keep]), pa.array(before[keep]), pa.array(s[row][keep]), pa.array(size[row][keep])], ["part", "before", "s", "n"])
+
+    return run
 
 
 def similar_sets(members: DataFrame, least: float, keep: Scratch) -> DataFrame:
-    """members(set, k) -> a, b, jaccard: different token sets, a < b, that reach `least` (0.5 or more); copies stand for one set.
+    """members(set, k) -> a, b, jaccard: different token sets, each pair once, that reach `least` (0.5 or more); copies stand for one set.
 
-    Prefix filter: tokens are ordered from rare to common, and two sets that reach the similarity share one of
-    the first |s| - ceil(least |s|) + 1 of each; only those are joined on, so common tokens meet nobody. Any order finds all
-    pairs, so only the COMMON commonest tokens are ranked, in every task. What meets is thinned by sizes, by places and by
-    sketches before whole sets are sent for it.
+    Tokens fall into parts by their hashes, one part more than tokens may differ in a pair of such sizes, so the sets of a pair
+    have a part in common, whole. Only those are joined on: sets that merely share tokens, however common, do not meet. A pair with
+    several parts in common meets at the first of each stretch of them.
     """
-    sets = keep(members.groupBy("set").agg(F.first("k").alias("k")))
-    freq = sets.select(F.explode("k").alias("t")).groupBy("t").agg(F.count("*").alias("f")).filter("f > 1").orderBy(F.desc("f"), "t").limit(COMMON)
-    heads = keep(_heads(sets, freq.select("t").toArrow()["t"].to_numpy(), least - 1e-6))
-    side = lambda n: heads.select("t", F.col("set").alias(n), F.col("n").alias(f"n{n}"), F.col("place").alias(f"p{n}"))
-    small, both = F.least("na", "nb"), F.col("na") + F.col("nb")
-    left = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # tokens that the sets can still share
-    low = least - 1e-6
-    met = side("a").join(side("b"), "t").filter((F.col("a") < F.col("b")) & (small >= least * F.greatest("na", "nb") - 1e-9) & (left >= low / (1 + low) * both)).select("a", "b", "na", "nb").distinct()
-    bits = keep(_sketches(sets))
-    near = met.join(bits.select(F.col("set").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("set").alias("b"), F.col("bits").alias("y")), "b")
-    near = keep(near.filter(hamming_words(F.col("x"), F.col("y")) <= (1 - low) / (1 + low) * both).select("a", "b"))
-    full = near.join(sets.select(F.col("set").alias("a"), F.col("k").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("k").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    full = full.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), shared.alias("shared"))
-    return full.select("a", "b", F.round(F.col("shared") / (both - F.col("shared")), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
+    n, low = shuffle_partitions(members.sparkSession), least - 1e-6
+    once = members.select("set", "k").mapInArrow(_once, "set binary, k array<bigint>").repartition(n, "set").mapInArrow(_once, "set binary, k array<bigint>")
+    sets = keep(once.withColumn("s", F.monotonically_increasing_id()))
+    parts = sets.select("s", "k").mapInArrow(_parts(low), "part long, before long, s long, n int")
+    side = lambda x: parts.select("part", F.col("before").alias(f"before{x}"), F.col("s").alias(x), F.col("n").alias(f"n{x}"))
+    size = F.least(F.abs("na"), F.abs("nb")) >= least * F.greatest(F.abs("na"), F.abs("nb")) - 1e-9
+    met = side("a").join(side("b"), "part").filter((F.col("a") < F.col("b")) & (F.col("beforea") != F.col("beforeb")) & ((F.col("na") > 0) | (F.col("nb") > 0)) & size)
+    near = keep(met.select("a", "b").distinct())
+    full = near.join(sets.select(F.col("s").alias("a"), F.col("set").alias("set_a"), F.col("k").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("set").alias("set_b"), F.col("k").alias("y")), "b")
+    full = full.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    return full.select("a", "b", F.round(F.col("shared") / (F.col("both") - F.col("shared")), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
 @scratched
@@ -146,8 +211,8 @@ def write_gate(candidates: DataFrame, existing: DataFrame, *, keep: Scratch) ->
     The first rule that fails decides; a body that nearly repeats a strong memory (the first in order) contradicts it.
     """
     both = existing.filter("strength >= 0.8").select("id", "text", "seq", F.lit(True).alias("strong")).unionByName(candidates.select("id", F.col("body").alias("text"), F.lit(False).alias("strong")), allowMissingColumns=True)
-    pairs = similar_sets(_sets(both.select("text")), 0.9, keep).select("a", "b")
-    members = keep(_sets(both).drop("k"))
+    members = keep(_sets(both))
+    pairs = keep(similar_sets(members, 0.9, keep).select("a", "b"))
     strong, asked = members.filter("strong"), members.filter("not strong")
     # of each set the first two strong memories: the first of them that is not the candidate itself is the first of all
     own = strong.groupBy("set", "id").agg(F.min("seq").alias("seq"))
@@ -167,8 +232,8 @@ def write_gate(candidates: DataFrame, existing: DataFrame, *, keep: Scratch) ->
 @scratched
 def contradictions(nodes: DataFrame, least: float = 0.9, *, keep: Scratch) -> DataFrame:
     """nodes(id, text, concepts, at) -> kept, demoted: near-equal memories that share a concept while each has one of its own; the older is demoted."""
-    sets = keep(similar_sets(_sets(nodes.select("text")), least, keep).select("a", "b"))
-    members = keep(_sets(nodes.select("id", "text", "concepts", "at")).drop("k"))
+    members = keep(_sets(nodes.select("id", "text", "concepts", "at")))
+    sets = keep(similar_sets(members, least, keep).select("a", "b"))
     side = lambda n: members.select(F.col("set").alias(f"{n}_set"), F.col("id").alias(n), F.col("concepts").alias(f"{n}_c"), F.col("at").alias(f"{n}_at"))
     there = sets.select(F.col("a").alias("a_set"), F.col("b").alias("b_set")).unionByName(sets.select(F.col("b").alias("a_set"), F.col("a").alias("b_set")))
     across = there.join(side("a"), "a_set").join(side("b"), "b_set").filter("a < b")
