@@ -15,8 +15,8 @@ from graphloom.frames import Scratch, scratched, shuffle_partitions
 from graphloom.operators.clusters import greedy_clusters  # noqa: F401  the step between candidates and memories
 from graphloom.operators.telemetry import retention, retention_band
 
-#: Sets whose parts are made in common, and the bytes of a token.
-COMMON, WORD = 1 << 10, np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", np.uint8))
+#: Sets whose parts are made in common, sets of one label that are compared in a block, and the bytes of a token.
+COMMON, BLOCK, WORD = 1 << 10, 512, np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", np.uint8))
 
 
 def decide_contract(score: Column, risk: Column, observed_parts: Column | None = None, energy_admit: Column | None = None) -> Column:
@@ -184,12 +184,57 @@ def _parts(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set: which of the tokens that two sets or more have are in it."""
+    tokens, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, some = np.repeat(np.arange(len(sets)), [len(k) for k in sets]), count[place] > 1
+    column = np.cumsum(count > 1)[place[some]] - 1
+    out = np.zeros((len(sets), -(-int((count > 1).sum()) // 8)), np.uint8)
+    np.bitwise_or.at(out, (row[some], column >> 3), (1 << (column & 7)).astype(np.uint8))
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, kind, s, other, set, k by block, a block's sets first -> a, b, both, shared: each pair's digests, the sum of its sizes and its common tokens.
+
+    Where a block has more than a few pairs, its sets become bits.
+    """
+    block, at, names, sets, bits = None, {}, [], [], None
+    for batch in batches:
+        blocks, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kind) != 0)) + 1), len(blocks)]
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            if lo == hi:
+                continue
+            if blocks[lo] != block:
+                block, at, names, sets, bits = blocks[lo], {}, [], [], None
+            part = batch.slice(lo, hi - lo)
+            s = part.column(2).to_pylist()
+            if kind[lo] == 0:
+                at |= {x: len(sets) + i for i, x in enumerate(s)}
+                names += part.column(4).to_pylist()
+                flat, ends = part.column(5).flatten().to_numpy().copy(), np.append(0, np.cumsum(part.column(5).value_lengths().to_numpy()))
+                sets += [flat[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+            else:
+                a, b = np.array([at[x] for x in s]), np.array([at[x] for x in part.column(3).to_pylist()])
+                sizes = np.array([len(k) for k in sets])
+                if bits is None and len(a) > 10:
+                    bits = _bits(sets)
+                if bits is None:
+                    shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+                else:
+                    step = 1 + (1 << 22) // (bits.shape[1] + 1)
+                    shared = np.concatenate([np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(1, dtype=np.int64) for i in range(0, len(a), step)])
+                both = sizes[a] + sizes[b]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a.tolist()], pa.binary()), pa.array([names[j] for j in b.tolist()], pa.binary()), pa.array(both), pa.array(shared)], ["a", "b", "both", "shared"])
+
+
 def similar_sets(members: DataFrame, least: float, keep: Scratch) -> DataFrame:
     """members(set, k) -> a, b, jaccard: different token sets, each pair once, that reach `least` (0.5 or more); copies stand for one set.
 
     Tokens fall into parts by their hashes, one part more than tokens may differ in a pair of such sizes, so the sets of a pair
     have a part in common, whole. Only those are joined on: sets that merely share tokens, however common, do not meet. A pair with
-    several parts in common meets at the first of each stretch of them.
+    several parts in common meets at the first of each stretch of them. What has met is compared in blocks of sets.
     """
     n, low = shuffle_partitions(members.sparkSession), least - 1e-6
     once = members.select("set", "k").mapInArrow(_once, "set binary, k array<bigint>").repartition(n, "set").mapInArrow(_once, "set binary, k array<bigint>")
@@ -199,8 +244,16 @@ def similar_sets(members: DataFrame, least: float, keep: Scratch) -> DataFrame:
     size = F.least(F.abs("na"), F.abs("nb")) >= least * F.greatest(F.abs("na"), F.abs("nb")) - 1e-9
     met = side("a").join(side("b"), "part").filter((F.col("a") < F.col("b")) & (F.col("beforea") != F.col("beforeb")) & ((F.col("na") > 0) | (F.col("nb") > 0)) & size)
     near = keep(met.select("a", "b").distinct())
-    full = near.join(sets.select(F.col("s").alias("a"), F.col("set").alias("set_a"), F.col("k").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("set").alias("set_b"), F.col("k").alias("y")), "b")
-    full = full.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    # sets that are near many others are near the same ones: pairs come to blocks by their sets' first neighbours, each set once to a block
+    label = near.select(F.col("a").alias("s"), "b").union(near.select(F.col("b"), F.col("a"))).groupBy("s").agg(F.least(F.min("b"), F.col("s")).alias("label"))
+    crowd = label.groupBy("label").agg(F.count("*").alias("crowd"))
+    labels = keep(label.join(crowd, "label").select("s", F.xxhash64("label", F.pmod(F.xxhash64("s"), F.ceil(F.col("crowd") / BLOCK))).alias("label")))
+    at = lambda x: labels.select(F.col("s").alias(x), F.col("label").alias(f"label{x}"))
+    blocks = keep(near.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.xxhash64(F.least("labela", "labelb"), F.greatest("labela", "labelb")).alias("block")))
+    members = blocks.select("block", F.col("a").alias("s")).union(blocks.select("block", F.col("b"))).distinct().join(sets, "s")
+    rows = members.select("block", F.lit(0).alias("kind"), "s", F.lit(None).cast("long").alias("other"), "set", "k").union(blocks.select("block", F.lit(1), "a", "b", F.lit(None).cast("binary"), F.lit(None).cast("array<long>")))
+    rows = rows.repartition(n, "block").sortWithinPartitions("block", "kind")
+    full = rows.mapInArrow(_compared, "a binary, b binary, both long, shared long")
     return full.select("a", "b", F.round(F.col("shared") / (F.col("both") - F.col("shared")), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 

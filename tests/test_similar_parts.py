@@ -42,3 +42,25 @@ def test_tokens_end_where_the_regular_expression_ends_them(spark):
     of = Counter(t for s in want.values() for t in s)  # a token and its hash are in the same texts
     seen = Counter(h for x in got.values() for h in x.k)
     assert sorted(of.values()) == sorted(seen.values())
+
+
+def test_sets_of_a_crowd_are_sent_to_few_blocks(spark, monkeypatch):
+    """300 near copies make 44,850 pairs; each set goes to a few blocks in place of to 299 pairs, and every pair is found with its similarity."""
+    r = random.Random(6)
+    words, base = [f"w{i:04d}" for i in range(3000)], [f"b{i:03d}" for i in range(120)]
+    sets = list({frozenset([*r.sample(base, 118), *r.sample(words, r.choice([1, 2, 8]))]) for _ in range(300)}) + [frozenset(r.sample(words, 50)) for _ in range(20)]
+    want = sorted(j for i, a in enumerate(sets) for b in sets[i + 1 :] if (j := round(len(a & b) / len(a | b), 6)) >= 0.9)
+    sent, plain = [], DataFrame.distinct
+
+    def counted(self):
+        if "block" in self.columns:
+            sent.append(plain(self).count())
+        return plain(self)
+
+    monkeypatch.setattr(DataFrame, "distinct", counted)
+    monkeypatch.setattr(memory, "BLOCK", 100, raising=False)
+    with Scratch(spark) as keep:
+        got = memory.similar_sets(memory._sets(spark.createDataFrame([(" ".join(s),) for s in sets], "text string")), 0.9, keep).collect()
+    assert len(got) == len(want) > 20000 and all(abs(x.jaccard - y) < 2e-6 for x, y in zip(sorted(got, key=lambda x: x.jaccard), want, strict=True))
+    assert len({frozenset((bytes(x.a), bytes(x.b))) for x in got}) == len(want)
+    assert sent and sent[0] <= 6 * len(sets)
