@@ -274,10 +274,10 @@ def write_gate(candidates: DataFrame, existing: DataFrame, *, keep: Scratch) ->
     beside = there.join(two.withColumnRenamed("set", "b"), "b").select(F.col("a").alias("set"), "seq", "id").unionByName(two)
     best = beside.withColumn("k", F.row_number().over(Window.partitionBy("set").orderBy("seq", "id"))).filter("k <= 2").select("set", "seq", F.col("id").alias("against"))
     first = asked.select("id", "set").distinct().join(best, "set").filter(F.col("id") != F.col("against")).groupBy("id").agg(F.min(F.struct("seq", "against"))["against"].alias("against"))
-    x = candidates.join(first, "id", "left")
+    x = candidates.select("id", "uri", "importance", "concepts", (F.length(F.coalesce("body", F.lit(""))) < 16).alias("short")).join(first, "id", "left")
     verdict = (
         F.when(F.coalesce(F.col("id").cast("string"), F.lit("")) == "", "schema_no_source").when(F.coalesce("importance", F.lit(0)) <= 2, "importance").when(F.coalesce(F.size("concepts"), F.lit(0)) < 1, "concepts")
-        .when(F.length(F.coalesce("body", F.lit(""))) < 16, "body").when(F.coalesce("uri", F.lit("")) == "", "schema_no_source").when(F.col("against").isNotNull(), "contradiction").otherwise("promote")
+        .when(F.col("short"), "body").when(F.coalesce("uri", F.lit("")) == "", "schema_no_source").when(F.col("against").isNotNull(), "contradiction").otherwise("promote")
     )
     return x.select("id", verdict.alias("verdict"), F.when(verdict == "contradiction", F.col("against")).alias("against"))
 
